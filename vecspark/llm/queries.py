@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from vecspark.llm.bpe import op8_bpe
+from vecspark.llm.decontamination import op5_decontamination
 from vecspark.llm.secrets import op10_secrets
 from vecspark.llm.sharding import op7_rendezvous
 from vecspark.llm.simhash import op2_simhash
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op5_decontamination": op5_decontamination,
     "op7_rendezvous": op7_rendezvous,
     "op8_bpe": op8_bpe,
     "op10_secrets": op10_secrets,
