@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from vecspark.llm.bpe import op8_bpe
 from vecspark.llm.decontamination import op5_decontamination
+from vecspark.llm.licenses import op4_licenses
 from vecspark.llm.secrets import op10_secrets
 from vecspark.llm.sharding import op7_rendezvous
 from vecspark.llm.simhash import op2_simhash
+from vecspark.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op4_licenses": op4_licenses,
     "op5_decontamination": op5_decontamination,
+    "op6_toxicity": op6_toxicity,
     "op7_rendezvous": op7_rendezvous,
     "op8_bpe": op8_bpe,
     "op10_secrets": op10_secrets,
