@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from vecspark.llm.bpe import op8_bpe
+from vecspark.llm.chat import OP3_SQL, op3_chat
 from vecspark.llm.decontamination import op5_decontamination
 from vecspark.llm.licenses import op4_licenses
 from vecspark.llm.secrets import op10_secrets
@@ -12,6 +13,7 @@ from vecspark.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op3_chat": op3_chat,
     "op4_licenses": op4_licenses,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
@@ -20,4 +22,4 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL}
