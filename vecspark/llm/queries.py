@@ -9,9 +9,11 @@ from vecspark.llm.licenses import op4_licenses
 from vecspark.llm.secrets import op10_secrets
 from vecspark.llm.sharding import op7_rendezvous
 from vecspark.llm.simhash import op2_simhash
+from vecspark.llm.suffixes import op1_suffixes
 from vecspark.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op1_suffixes": op1_suffixes,
     "op2_simhash": op2_simhash,
     "op3_chat": op3_chat,
     "op4_licenses": op4_licenses,
