@@ -93,13 +93,21 @@ def select_keys(payload: Column, include: Iterable[str] | None, exclude: Iterabl
     return pick(payload)
 
 
-@F.pandas_udf("string")
-def merge_json(old: pd.Series, new: pd.Series) -> pd.Series:
+def merge_json(old: Column, new: Column) -> Column:
     """The keys of new over those of old; a null is an empty object."""
-    return pd.Series([canonical({**json.loads(a or "{}"), **json.loads(b or "{}")}) for a, b in zip(old, new, strict=True)])
+
+    @F.pandas_udf("string")
+    def merged(old: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series([canonical({**json.loads(a or "{}"), **json.loads(b or "{}")}) for a, b in zip(old, new, strict=True)])
+
+    return merged(old, new)
 
 
-@F.pandas_udf("string")
-def without_keys(old: pd.Series, keys: pd.Series) -> pd.Series:
+def without_keys(old: Column, keys: Column) -> Column:
     """old less the keys; a null stays."""
-    return pd.Series([None if a is None else canonical({k: v for k, v in json.loads(a).items() if k not in set(drop)}) for a, drop in zip(old, keys, strict=True)])
+
+    @F.pandas_udf("string")
+    def reduced(old: pd.Series, keys: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else canonical({k: v for k, v in json.loads(a).items() if k not in set(drop)}) for a, drop in zip(old, keys, strict=True)])
+
+    return reduced(old, keys)
