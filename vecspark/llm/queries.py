@@ -6,6 +6,7 @@ from vecspark.llm.bpe import op8_bpe
 from vecspark.llm.chat import OP3_SQL, op3_chat
 from vecspark.llm.decontamination import op5_decontamination
 from vecspark.llm.licenses import op4_licenses
+from vecspark.llm.media import op9_media
 from vecspark.llm.secrets import op10_secrets
 from vecspark.llm.sharding import op7_rendezvous
 from vecspark.llm.simhash import op2_simhash
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_rendezvous": op7_rendezvous,
     "op8_bpe": op8_bpe,
+    "op9_media": op9_media,
     "op10_secrets": op10_secrets,
 }
 
