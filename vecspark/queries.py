@@ -8,12 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecspark.engine import Engine
 from vecspark.functions import distance as D
+from vecspark.operators import ivf
+from vecspark.operators import quantization as quant
 from vecspark.operators import search as S
 from vecspark.plans.filters import compile_filter, where
+from vecspark.sources.files import scratch_folder
+from vecspark.streaming.ingest import upsert_stream
 from vecspark.types import SearchQuery
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -257,3 +263,300 @@ def sql_functions(spark, sf_dir):
     points(spark, sf_dir).createOrReplaceTempView("vs_points")
     asked = "array(" + ", ".join(f"{x!r}D" for x in vector_of(spark, sf_dir, 5)) + ")"
     return spark.sql(f"SELECT id, round(score, 6) AS score FROM (SELECT id, slot, vs_manhattan(CAST(vector AS ARRAY<DOUBLE>), {asked}) AS score FROM vs_points ORDER BY score DESC, slot DESC LIMIT 10) ORDER BY score DESC, slot")
+
+
+# Scans and changes of a collection. Each query makes its collection in a scratch folder of the cluster's shared one.
+
+
+def collection(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None, **config) -> Engine:
+    engine = Engine(spark, scratch_folder(spark, "collections"))
+    engine.create_collection("c", {"dim": DIM, "metric": "Cosine", "index": "Flat", **config})
+    source = points(spark, sf_dir) if rows is None else rows
+    engine.upsert_dataframe("c", source.select("id", "vector", "payload", F.col("slot").alias("seq")), payload="payload")
+    return engine
+
+
+def state(engine: Engine) -> DataFrame:
+    """Every point by id: its slot, the first element of its vector, and color and label of its payload."""
+    return engine.points("c").select("id", "slot", F.round(F.get("vector", F.lit(0)), 5).cast("double").alias("x0"), F.get_json_object("payload", "$.color").alias("color"), F.get_json_object("payload", "$.label").cast("int").alias("label"))
+
+
+#: The state after loading, as a table of n, id, slot, x0, color, label.
+_LOADED = "SELECT vec_id AS n, vec_id::VARCHAR AS id, vec_id AS slot, round(embedding[1], 5)::DOUBLE AS x0, CASE WHEN vec_id % 13 <> 0 AND vec_id % 4 < 3 THEN ['red','blue','green'][(vec_id % 4 + 1)::INT] END AS color, CASE WHEN vec_id % 13 <> 0 THEN label END AS label FROM embeddings"
+_STATE = "SELECT id, slot, x0, color, label FROM"
+
+
+@query("SELECT count(*) AS n FROM embeddings")
+def count_all(spark, sf_dir):
+    return spark.createDataFrame([(collection(spark, sf_dir).count("c"),)], "n long")
+
+
+@query(f"SELECT count(*) AS n FROM ({_LOADED}) WHERE {_THREE_SQL} >= 2")
+def count_by_filter(spark, sf_dir):
+    n = collection(spark, sf_dir).count_by_filter("c", {"min_should": {"conditions": _THREE, "min_count": 2}})
+    return spark.createDataFrame([(n,)], "n long")
+
+
+@query(f"{_STATE} ({_LOADED}) WHERE n = 7")
+def get_point(spark, sf_dir):
+    return state(collection(spark, sf_dir)).where("id = '7'")
+
+
+@query("SELECT vec_id::VARCHAR AS id FROM embeddings WHERE vec_id > 20 ORDER BY vec_id LIMIT 15")
+def scroll_page(spark, sf_dir):
+    """A page of a scroll is what its caller asks for."""
+    rows, _ = collection(spark, sf_dir).scroll("c", 15, "20", with_payload=False)
+    return spark.createDataFrame(rows, "id string")
+
+
+@query(f"SELECT n::VARCHAR AS id FROM (SELECT vec_id AS n FROM embeddings) WHERE {_HAS} AND n % 4 = 0 AND n > 20 ORDER BY n LIMIT 15")
+def scroll_filtered_page(spark, sf_dir):
+    rows, _ = collection(spark, sf_dir).scroll_by_filter("c", {"must": [where.match("color", "red")]}, 15, "20", with_payload=False)
+    return spark.createDataFrame(rows, "id string")
+
+
+@query(f"{_STATE} ({_LOADED.replace('vec_id % 13 <> 0 AND vec_id % 4', 'vec_id % 10 <> 0 AND vec_id % 13 <> 0 AND vec_id % 4').replace('WHEN vec_id % 13 <> 0 THEN label', 'WHEN vec_id % 10 <> 0 AND vec_id % 13 <> 0 THEN label').replace('embedding[1]', 'embedding[CASE WHEN vec_id % 10 = 0 THEN 2 ELSE 1 END]')}) UNION ALL SELECT 'new', count(*), 0.0, NULL, NULL FROM embeddings")
+def upsert_overwrite(spark, sf_dir):
+    """Every tenth point again, its vector turned by one element and without payload, and a new one."""
+    engine = collection(spark, sf_dir)
+    turned = points(spark, sf_dir).where("slot % 10 = 0").select("id", F.concat(F.slice("vector", 2, DIM - 1), F.slice("vector", 1, 1)).alias("vector"), F.lit(None).cast("string").alias("payload"), F.col("slot").alias("seq"))
+    new = turned.limit(1).select(F.lit("new").alias("id"), F.array_repeat(F.lit(0.0).cast("float"), DIM).alias("vector"), "payload", F.lit(1 << 40).alias("seq"))
+    engine.upsert_dataframe("c", turned.unionByName(new), payload="payload")
+    return state(engine)
+
+
+@query("SELECT (vec_id % 10)::VARCHAR AS id, vec_id % 10 AS slot, max_by(round(embedding[1], 5)::DOUBLE, vec_id) AS x0 FROM embeddings GROUP BY 1, 2")
+def upsert_dedupe_batch(spark, sf_dir):
+    """One batch with many points for each of ten ids: the last counts."""
+    rows = points(spark, sf_dir).withColumn("id", (F.col("slot") % 10).cast("string"))
+    engine = collection(spark, sf_dir, rows)
+    return engine.points("c").select("id", F.col("id").cast("long").alias("slot"), F.round(F.get("vector", F.lit(0)), 5).cast("double").alias("x0"))
+
+
+@query(f"{_STATE} ({_LOADED}) WHERE color IS DISTINCT FROM 'red'")
+def delete_by_filter(spark, sf_dir):
+    engine = collection(spark, sf_dir)
+    engine.delete_by_filter("c", {"must": [where.match("color", "red")]})
+    return state(engine)
+
+
+@query(f"{_STATE} ({_LOADED}) WHERE n NOT IN (1, 2, 33)")
+def delete_batch(spark, sf_dir):
+    engine = collection(spark, sf_dir)
+    engine.delete_batch("c", [1, "002", 33, "nobody"])
+    return state(engine)
+
+
+@query(f"SELECT id, slot, x0, CASE WHEN n = 5 THEN 'black' ELSE color END AS color, CASE WHEN n <> 5 THEN label END AS label FROM ({_LOADED})")
+def set_payload(spark, sf_dir):
+    engine = collection(spark, sf_dir)
+    engine.set_payload("c", 5, {"color": "black"})
+    return state(engine)
+
+
+@query(f"SELECT id, slot, x0, CASE WHEN n IN (5, 13) THEN 'black' ELSE color END AS color, CASE WHEN n = 13 THEN 99 ELSE label END AS label FROM ({_LOADED})")
+def merge_payload(spark, sf_dir):
+    engine = collection(spark, sf_dir)
+    engine.merge_payload("c", 5, {"color": "black"})
+    engine.set_payload_field("c", 13, "label", 99)
+    engine.set_payload_field("c", 13, "color", "black")
+    return state(engine)
+
+
+@query(f"SELECT id, slot, x0, CASE WHEN n <> 4 THEN color END AS color, label FROM ({_LOADED})")
+def delete_payload_keys(spark, sf_dir):
+    engine = collection(spark, sf_dir)
+    engine.delete_payload_keys("c", 4, ["color", "nothing"])
+    return state(engine)
+
+
+@query(f"SELECT id, CASE WHEN n = 2 THEN (SELECT count(*) FROM embeddings) ELSE slot END AS slot, CASE WHEN n = 2 THEN 1.0 ELSE x0 END AS x0, CASE WHEN n <> 2 THEN color END AS color, CASE WHEN n <> 2 THEN label END AS label FROM ({_LOADED}) WHERE n <> 3")
+def apply_txn(spark, sf_dir):
+    """A point that is deleted and put in again gets a new slot."""
+    engine = collection(spark, sf_dir)
+    engine.apply_txn([
+        {"op": "delete", "collection": "c", "id": 2},
+        {"op": "delete", "collection": "c", "id": 3},
+        {"op": "upsert", "collection": "c", "id": 2, "vector": [1.0] * DIM},
+    ])
+    return state(engine)
+
+
+@query(f"SELECT id, row_number() OVER (ORDER BY n) - 1 AS slot, x0, color, label FROM ({_LOADED}) WHERE n % 5 <> 0")
+def compact_renumber(spark, sf_dir):
+    engine = collection(spark, sf_dir)
+    engine.delete_batch("c", [r.id for r in points(spark, sf_dir).where("slot % 5 = 0").select("id").collect()])
+    engine.compact("c")
+    return state(engine)
+
+
+@query(f"SELECT n::VARCHAR AS id FROM (SELECT vec_id AS n FROM embeddings) WHERE {_HAS} AND n % 7 <> 0 AND n * 0.5 BETWEEN 30 AND 90")
+def numeric_index_range(spark, sf_dir):
+    """The range over the typed column of a payload index, by which the files are sorted."""
+    engine = collection(spark, sf_dir)
+    engine.create_payload_index("c", "price", "float")
+    store = engine._store("c")
+    return S.filtered(store.points(wide=True), {"must": [where.range("price", gte=30, lte=90)]}, store.shadows()).select("id")
+
+
+# Inverted lists and codes. Centroids and codebooks that SQL has to know are vectors of the table themselves.
+
+
+def _matrix(spark, sf_dir, condition: str) -> np.ndarray:
+    return np.array([r.vector for r in points(spark, sf_dir).where(condition).orderBy("slot").select("vector").collect()], np.float64)
+
+
+_L2 = _TERMS["l2"].replace("a[", "e.embedding[").replace("b[", "c.embedding[")
+_ASSIGNED = f"SELECT n, label, embedding, list_id, far FROM (SELECT e.vec_id AS n, e.label, e.embedding, c.vec_id AS list_id, sqrt({_L2}) AS far, row_number() OVER (PARTITION BY e.vec_id ORDER BY {_L2}, c.vec_id) AS r FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 8) c) WHERE r = 1"
+
+
+def _assigned(spark, sf_dir) -> tuple[DataFrame, np.ndarray]:
+    centroids = _matrix(spark, sf_dir, "slot < 8")
+    return ivf.assign(points(spark, sf_dir), centroids, "Euclid"), centroids
+
+
+@query(f"SELECT n::VARCHAR AS id, list_id::INT AS list_id, round(far, 5) AS far FROM ({_ASSIGNED})")
+def ivf_assign(spark, sf_dir):
+    return _assigned(spark, sf_dir)[0].select("id", "list_id", F.round("list_distance", 5).alias("far"))
+
+
+def _probed(spark, sf_dir, nprobe: int) -> DataFrame:
+    assigned, centroids = _assigned(spark, sf_dir)
+    asked = vector_of(spark, sf_dir, 9)
+    near = ivf.probe(assigned, ivf.probe_order(asked, centroids, "Euclid"), nprobe)
+    return S.rank_scored(near.select("slot", "id", D.score("Euclid", F.col("vector"), D.vector(asked)).alias("score")), 10).select("id", F.round("score", 6).alias("score"))
+
+
+_NEAR_LISTS = f"SELECT c.vec_id FROM embeddings e, embeddings c WHERE e.vec_id = 9 AND c.vec_id < 8 ORDER BY {_L2} LIMIT {{}}"
+_PROBED = f"SELECT n::VARCHAR AS id, round(score, 6) AS score FROM (SELECT n, {_SCORE['Euclid'].replace('a[', 'p.embedding[').replace('b[', 'q.embedding[')} AS score FROM ({_ASSIGNED}) p, (SELECT embedding FROM embeddings WHERE vec_id = 9) q WHERE list_id IN ({_NEAR_LISTS})) ORDER BY score DESC, n LIMIT 10"
+
+
+@query(knn_sql("Euclid", vec_id=9))
+def ivf_probe_all(spark, sf_dir):
+    return _probed(spark, sf_dir, 8)
+
+
+@query(_PROBED.format(3))
+def ivf_probe_n(spark, sf_dir):
+    return _probed(spark, sf_dir, 3)
+
+
+@query(f"SELECT round(greatest(0, (avg(far) - 0.5) / 0.5), 5) AS drift FROM ({_ASSIGNED})")
+def ivf_drift(spark, sf_dir):
+    return spark.createDataFrame([(round(ivf.drift(_assigned(spark, sf_dir)[0], 0.5), 5),)], "drift double")
+
+
+@query(f"SELECT list_id::INT AS list_id, i::INT AS i, round(avg(x), 5) AS mean FROM (SELECT list_id, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM ({_ASSIGNED})) GROUP BY 1, 2")
+def kmeans_one_step(spark, sf_dir):
+    """The means of all lists, as one round over the whole table."""
+    each = _assigned(spark, sf_dir)[0].select("list_id", F.posexplode("vector").alias("i", "x"))
+    return each.groupBy("list_id", "i").agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"))
+
+
+@query("SELECT vec_id::VARCHAR AS id, list_sum(list_transform(embedding, lambda x: round((greatest(-0.25, least(0.25, x::DOUBLE)) + 0.25) / (0.5 / 255))))::BIGINT AS total FROM embeddings")
+def scalar_encode(spark, sf_dir):
+    codes = quant.scalar_codes(F.col("vector"), -0.25, 0.25)
+    return points(spark, sf_dir).select("id", F.aggregate(codes, F.lit(0).cast("long"), lambda s, c: s + c).alias("total"))
+
+
+@query("SELECT round(x[(floor(0.005 * len(x)) + 1)::BIGINT]::DOUBLE, 6) AS low, round(x[(floor(0.995 * len(x)) + 1)::BIGINT]::DOUBLE, 6) AS high FROM (SELECT list_sort(flatten(list(embedding))) AS x FROM embeddings)")
+def scalar_quantile_range(spark, sf_dir):
+    low, high = quant.scalar_range(points(spark, sf_dir), 0.99, DIM)
+    return spark.createDataFrame([(round(low, 6), round(high, 6))], "low double, high double")
+
+
+_HAMMING = "list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (e.embedding[i] > 0) <> (q.embedding[i] > 0) THEN 1 ELSE 0 END))"
+_BINARY = f"SELECT e.vec_id AS n, {_HAMMING} AS differing, {_SCORE['Cosine'].replace('a[', 'e.embedding[').replace('b[', 'q.embedding[')} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
+
+
+def _binary(spark, sf_dir) -> tuple[DataFrame, list[float]]:
+    asked = vector_of(spark, sf_dir, 0)
+    own = quant.binary_words(D.vector(asked), DIM)
+    return points(spark, sf_dir).select("slot", "id", (-quant.hamming(quant.binary_words(F.col("vector"), DIM), own)).cast("double").alias("score")), asked
+
+
+@query(f"SELECT n::VARCHAR AS id, -differing::DOUBLE AS score FROM ({_BINARY}) ORDER BY differing, n DESC LIMIT 10")
+def binary_hamming_topk(spark, sf_dir):
+    return S.rank_scored(_binary(spark, sf_dir)[0], 10).select("id", "score")
+
+
+@query(f"SELECT n::VARCHAR AS id, round(score, 6) AS score FROM (SELECT * FROM ({_BINARY}) ORDER BY differing, n DESC LIMIT 40) ORDER BY score DESC, n LIMIT 10")
+def quant_rescore_topk(spark, sf_dir):
+    coarse, asked = _binary(spark, sf_dir)
+    return quant.two_stage(coarse, points(spark, sf_dir), asked, "Cosine", 10, 40).select("id", F.round("score", 6).alias("score"))
+
+
+_PART = "list_sum(list_transform(range({0}, {1}), lambda i: (e.embedding[i]::DOUBLE - c.embedding[i]::DOUBLE) * (e.embedding[i]::DOUBLE - c.embedding[i]::DOUBLE)))"
+_PQ = " UNION ALL ".join(f"SELECT n, {p} AS part, code FROM (SELECT e.vec_id AS n, c.vec_id AS code, row_number() OVER (PARTITION BY e.vec_id ORDER BY {_PART.format(p * 16 + 1, p * 16 + 17)}, c.vec_id) AS r FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 16) c) WHERE r = 1" for p in range(4))
+
+
+@query(f"SELECT n::VARCHAR AS id, string_agg(code::VARCHAR, ',' ORDER BY part) AS codes FROM ({_PQ}) GROUP BY n")
+def pq_encode(spark, sf_dir):
+    """Four subspaces, coded by the first sixteen vectors' parts."""
+    books = np.stack(np.split(_matrix(spark, sf_dir, "slot < 16"), 4, axis=1))
+    coded = quant.product_encode(points(spark, sf_dir), books)
+    byte = lambda i: F.conv(F.substring(F.hex("code"), 2 * i + 1, 2), 16, 10)
+    return coded.select("id", F.concat_ws(",", *[byte(i) for i in range(4)]).alias("codes"))
+
+
+def _recall(spark, sf_dir, engine: Engine, **options) -> DataFrame:
+    """Of the exact ten nearest of one point, the share that an approximate search gives too; for many points, see the tests."""
+    asked = vector_of(spark, sf_dir, 3)
+    near = lambda **o: {r.id for r in engine.search("c", SearchQuery(asked, with_payload=False, **o)).collect()}
+    exact = {r.id for r in S.search(engine.points("c"), SearchQuery(asked, with_payload=False), "Cosine", DIM).collect()}
+    return spark.createDataFrame([(len(exact & near(**options)) / max(1, len(exact)) >= 0.8,)], "recall_reached boolean")
+
+
+@query()
+def graph_knn_recall(spark, sf_dir):
+    engine = collection(spark, sf_dir, index="Hnsw")
+    engine.build_index("c")
+    return _recall(spark, sf_dir, engine, ef_search=100)
+
+
+@query()
+def pq_knn_recall(spark, sf_dir):
+    engine = collection(spark, sf_dir, quantization={"kind": "product", "ratio": 16})
+    engine.build_quantization("c")
+    return _recall(spark, sf_dir, engine, rescore=True, oversampling=10)
+
+
+@query(knn_sql("Cosine"))
+def ivf_collection_search(spark, sf_dir):
+    """A search through a built index that probes all its lists."""
+    engine = collection(spark, sf_dir, index="Ivf", ivf={"lists": 16, "min_build_points": 10})
+    engine.build_index("c")
+    return engine.search("c", SearchQuery(vector_of(spark, sf_dir, 0), nprobe=16, with_payload=False)).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT vec_id::VARCHAR AS id FROM embeddings")
+def snapshot_round_trip(spark, sf_dir):
+    engine = collection(spark, sf_dir)
+    folder = scratch_folder(spark, "snapshot")
+    engine.export_snapshot(folder)
+    engine.delete_collection("c")
+    engine.import_snapshot(folder)
+    return engine.points("c").select("id")
+
+
+@query("SELECT vec_id::VARCHAR AS id FROM embeddings WHERE vec_id % 2 = 0")
+def promote_collection(spark, sf_dir):
+    """A rebuilt collection takes the live one's name; the backup can be named and restored."""
+    engine = collection(spark, sf_dir)
+    engine.create_collection("c.rebuild-1", {"dim": DIM, "index": "Flat"})
+    engine.upsert_dataframe("c.rebuild-1", points(spark, sf_dir).where("slot % 2 = 0").select("id", "vector", "payload", F.col("slot").alias("seq")), payload="payload")
+    engine.promote_temp_collection("c.rebuild-1", "c")
+    return engine.points("c").select("id")
+
+
+@query("SELECT vec_id::VARCHAR AS id, vec_id % 4 AS part FROM embeddings")
+def stream_ingest(spark, sf_dir):
+    """Embeddings that come as a stream of files end up in the collection."""
+    engine = Engine(spark, scratch_folder(spark, "collections"))
+    engine.create_collection("c", {"dim": DIM, "index": "Flat"})
+    folder = scratch_folder(spark, "stream")
+    rows = points(spark, sf_dir).select("id", "vector", "payload", F.col("slot").alias("seq"))
+    rows.repartition(2).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    upsert_stream(engine, "c", stream, f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return engine.points("c").select("id", (F.col("id").cast("long") % 4).alias("part"))
