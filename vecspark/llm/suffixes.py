@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ COVER, MODULUS = (0, 1, 3), 7
 PLACE_BITS = 26
 #: Anchors that a task gathers before it sends them, and rows that are sorted together.
 GATHERED, SORTED = 2_000_000, 100_000
+#: Keys of copies that are broadcast at most, 8 bytes each.
+MOST_BROADCAST = 2_000_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -152,10 +155,13 @@ def _keep_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _send_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, text, packed array) to (key, rid, packed, around): the bytes of all windows of each repeated anchor."""
+    """(rid, text, packed array, copy, ...) to (key, rid, packed, around): the bytes of all windows of each repeated anchor."""
     for batch in pieces(batches):
+        batch = batch.filter(pc.and_(batch.column(2).is_valid(), batch.column(3).is_null()))
         raw, at = flat(batch.column(1))
         lists = batch.column(2)
+        if not len(lists):
+            continue
         number = np.diff(lists.offsets.to_numpy())
         packed = lists.flatten().to_numpy()
         if not len(packed):
@@ -275,13 +281,13 @@ def removed_bytes(n: int, packed: np.ndarray, runs: np.ndarray) -> np.ndarray:
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, copy, packed array, runs array) to the spans that go and the text that stays."""
+    """(rid, text, packed array, copy, doc_id, runs array) to the spans that go and the text that stays."""
     for batch in pieces(batches):
         raw, at = flat(batch.column(1))
-        copy = batch.column(2).to_pylist()
+        copy = batch.column(3).to_pylist()
         out: list[tuple] = []
         for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-            packed, runs = batch.column(3)[i].values, batch.column(4)[i].values
+            packed, runs = batch.column(2)[i].values, batch.column(5)[i].values
             own = raw[a:b]
             if copy[i] and b - a >= WINDOW:
                 out.append((b - a, b"", [{"start": 0, "end": b - a}]))
@@ -292,16 +298,18 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 edge = np.diff(np.pad(gone.astype(np.int8), 1))
                 out.append((b - a, own[~gone].tobytes(), [{"start": s, "end": e} for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]))
         n, kept, spans = zip(*out, strict=True)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["doc_id", "n_bytes", "kept", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column(4), pa.array(n, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["doc_id", "n_bytes", "kept", "spans"])
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, rid): rid is the doc_id, or if ids are null or come again, a number in the order of id and digest."""
-    ids = docs.select("doc_id", "digest")
+def _with_rid(rows: DataFrame) -> DataFrame:
+    """rows with rid: the doc_id, or if ids are null or come again, a number in the order of id and digest."""
+    ids = rows.select("doc_id")
     if ids.where(F.col("doc_id").isNull()).isEmpty() and ids.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return ids.withColumn("rid", F.col("doc_id").cast("long"))
-    ranged = ids.distinct().repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest")
-    return checkpointed(ranged.withColumn("rid", F.monotonically_increasing_id()))
+        return rows.withColumn("rid", F.col("doc_id").cast("long"))
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    ranged = rows.select("doc_id", digest.alias("digest")).distinct().repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest")
+    numbers = checkpointed(ranged.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.monotonically_increasing_id().alias("rid")))
+    return rows.join(numbers, F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))).select("doc_id", "text", "rid")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -311,24 +319,20 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     text. Nulls are empty texts. Rows with the same doc_id stand in the order of their texts' digests; rows that agree in
     both are one text and have the same result. A null doc_id comes before all others.
     """
-    digested = docs.select(F.col(doc_id).alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("digest"))
-    numbered = _numbered(digested)
-    least = numbered.groupBy("digest").agg(F.min("rid").alias("first"))
-    flags = checkpointed(numbered.join(least, "digest").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "rid", (F.col("rid") != F.col("first")).alias("copy")))
-    own_text = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), own_text.alias("text"))
-    unique = flags.groupBy("_id").count().where("count > 1").isEmpty()
-    if unique:
-        base = rows.join(flags.drop("_digest"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    else:
-        base = rows.join(flags.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("_digest")))
-    base = base.select("doc_id", "rid", "copy", "text").repartition("rid")
-    sent = base.where(~F.col("copy") & (F.octet_length("text") >= WINDOW)).select("rid", "text").mapInArrow(_send_anchors, "key long, rid long, packed long")
+    rows = _with_rid(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
+    digests = rows.select("rid", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).distinct()
+    least = digests.groupBy("digest").agg(F.min("rid").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = checkpointed(digests.join(least, "digest").where("rid <> first").select("rid", F.lit(True).alias("copy")))
+    first_of_all = rows.where(F.octet_length("text") >= WINDOW).select("rid", "text")
+    if copies.count() <= MOST_BROADCAST:  # else their anchors count as repeated ones, which costs more but changes nothing
+        first_of_all = first_of_all.join(F.broadcast(copies.select("rid")), "rid", "left_anti")
+    sent = first_of_all.mapInArrow(_send_anchors, "key long, rid long, packed long")
     repeated = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_keep_repeated, "rid long, packed long").groupBy("rid").agg(F.collect_list("packed").alias("packed"))
-    found = base.join(repeated, "rid", "left")
-    around = found.where(F.col("packed").isNotNull()).select("rid", "text", "packed").mapInArrow(_send_surroundings, "key long, rid long, packed long, around binary")
+    # Both uses of `found` take all its columns, so that Spark shuffles the texts once for both.
+    found = rows.join(repeated, "rid", "left").join(copies, "rid", "left").select("rid", "text", "packed", "copy", "doc_id")
+    around = found.mapInArrow(_send_surroundings, "key long, rid long, packed long, around binary")
     runs = around.repartition("key").sortWithinPartitions("key").mapInArrow(_find_first, "rid long, run long").groupBy("rid").agg(F.collect_list("run").alias("runs"))
-    last = found.join(runs, "rid", "left").select("doc_id", "text", "copy", "packed", "runs")
+    last = found.join(runs, "rid", "left")
     return last.mapInArrow(_finish, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes long, kept binary, spans array<struct<start: bigint, end: bigint>>")
 
 
