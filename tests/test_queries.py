@@ -26,7 +26,7 @@ def test_query_equals_its_sql(spark, name):
     got = entry.queries()[name](spark, FOLDER)
     cols = sorted(got.columns)
     want = con.sql(f"SELECT {', '.join(cols)} FROM ({entry.oracle_sql()[name]})").fetchall()
-    assert sorted(tuple(map(plain, r)) for r in got.select(*cols).collect()) == sorted(tuple(map(plain, r)) for r in want)
+    assert sorted((tuple(map(plain, r)) for r in got.select(*cols).collect()), key=repr) == sorted((tuple(map(plain, r)) for r in want), key=repr)
 
 
 def test_entry_gives_rows(spark):

@@ -119,14 +119,15 @@ class Store:
     def upsert(self, points: DataFrame) -> int:
         """points: id, vector, payload (JSON text or null), and maybe seq; of equal ids the one of the largest seq counts.
 
-        All points are checked before any is written. A known id keeps its slot; new ones get slots in the order of seq.
+        All points are checked before any is written. A known id keeps its slot; new ones get slots in the order in which they first come.
         """
         with self.writing() as manifest:
             config = CollectionConfig.from_dict(manifest["config"])
             if "seq" not in points.columns:
                 points = points.withColumn("seq", F.monotonically_increasing_id())
             points = points.select(F.col("id").cast("string").alias("id"), F.col("vector").cast("array<float>").alias("vector"), F.col("payload").cast("string").alias("payload"), "seq")
-            last = points.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("seq")))).where("_n = 1").drop("_n")
+            first = F.min("seq").over(Window.partitionBy("id"))
+            last = points.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("seq")))).withColumn("seq", first).where("_n = 1").drop("_n")
             bad = F.coalesce(F.size("vector") != config.dim, F.lit(True))
             infinite = F.exists("vector", lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(True)))
             checks = points.agg(F.count(F.when(bad, 1)).alias("dim"), F.count(F.when(infinite, 1)).alias("infinite"), F.count(F.when(F.col("payload").isNotNull() & F.coalesce(F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT") == F.lit(False), F.lit(True)), 1)).alias("payload"), F.count(F.when(F.col("id").isNull(), 1)).alias("id")).first()
