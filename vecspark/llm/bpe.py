@@ -26,8 +26,8 @@ from vecspark.llm.common import pieces, table
 #: Fixed value: the pattern by which byte-level vocabularies of this family split text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = (-1, "", "")
-#: Pieces whose encoding a worker remembers before it starts afresh, and their longest length in characters.
-REMEMBERED, SHORT = 1_000_000, 48
+#: Pieces whose encoding a worker remembers before it starts afresh, their longest length in characters, and pairs of tokens.
+REMEMBERED, SHORT, PAIRS = 400_000, 48, 200_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -84,7 +84,7 @@ class Codec:
         """
         pair = (left, right)
         if (known := self.pairs.get(pair)) is None:
-            if len(self.pairs) > REMEMBERED:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             limit, known = len(self.rank), True
             while known:

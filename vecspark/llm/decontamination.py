@@ -111,9 +111,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
         shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in some.collect()])  # BLOCK_BYTES, about
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, size, threshold)
-            if not index.ids or not len(index.sketch):
+            if not shared.value:
                 return
+            index = Index(shared.value, size, threshold)
             for batch in pieces(batches, text_at):
                 words = words_of(byte_strings(batch.column(text_at)), LETTERS)
                 rows = list(index.search(words, *shingle_hashes(words, size)))

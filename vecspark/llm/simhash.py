@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecspark.llm.common import byte_strings, pieces, table
+from vecspark.llm.common import byte_strings, checkpointed, pieces, table
 from vecspark.llm.components import connected_components
 from vecspark.llm.words import BY_SPACE, words_of
 
@@ -147,7 +147,5 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", fingerprint: str = "fing
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     """The fingerprint and component of every document."""
-    from vecspark.llm.common import checkpointed
-
     prints = checkpointed(fingerprint_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint"))
     return near_duplicates(prints).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecspark.llm.common import byte_strings, pieces, table
+from vecspark.llm.common import byte_strings, checkpointed, pieces, table
 from vecspark.llm.words import LETTERS
 
 #: Labelled texts that the model is fitted on at most, by hash of their keys; the statistics settle long before.
@@ -133,8 +133,6 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "t
         yield flush()
 
     counts = rows.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    from vecspark.llm.common import checkpointed
-
     counts = checkpointed(counts.where(F.col("clean") + F.col("toxic") >= LEAST))
     totals = {r.feature: (r.clean or 0, r.toxic or 0) for r in counts.where(F.col("feature").isin(" ", "  ")).collect()}
     (clean, toxic), texts = totals.get(" ", (0, 0)), totals.get("  ", (0, 0))
@@ -203,13 +201,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 PASSAGES = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("evidence", T.DoubleType())]))
 
 
-def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with toxicity double (0 to 1) and toxic_passages, an array of (start, end, evidence) in tokens, end exclusive.
+def score_texts(df: DataFrame, model: Model, text: str = "text", new: tuple[str, str] = ("toxicity", "toxic_passages")) -> DataFrame:
+    """df with `new`: a score (0 to 1), and the toxic passages as an array of (start, end, evidence) in tokens, end exclusive.
 
     The passages are all segments with an evidence of REPORTED or more. An empty text or a null has none and the score of no
     evidence. Columns of df with these names are replaced.
     """
-    new = ("toxicity", "toxic_passages")
     df = df.drop(*new)
     column = df.columns.index(text)
     shared = df.sparkSession.sparkContext.broadcast(model)  # FEATURES entries at most
