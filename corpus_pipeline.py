@@ -23,7 +23,7 @@ from vecspark.llm.toxicity import fit_for, score_texts
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below 0.5 stay; labels are learned from the rows that aren't held out."""
     model = fit_for(docs, table(spark, sf_dir, "labels"))
-    return score_texts(docs, model).where(F.col("toxicity") < 0.5).select(docs.columns)
+    return score_texts(docs, model, new=("_toxicity", "_passages")).where(F.col("_toxicity") < 0.5).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +44,8 @@ def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay, with [REDACTED] in the place of secrets; n_chars follows where a text was changed."""
-    found = find_secrets(docs)
-    changed = redact(found.withColumn("_changed", F.size("secrets") > 0))
+    found = find_secrets(docs, out="_secrets")
+    changed = redact(found.withColumn("_changed", F.size("_secrets") > 0), secrets="_secrets")
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col("_changed"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return changed.select(docs.columns)
