@@ -29,8 +29,10 @@ from vecspark.llm.words import LETTERS
 SAMPLE = 20_000
 #: Features at most, by significance: the model's size, whatever the corpus.
 FEATURES = 50_000
-#: Lengths of beginnings in characters, the prior's weight, and the least count and significance (in standard deviations).
-BEGINNINGS, PRIOR, LEAST, SIGNIFICANT = (4, 5, 6, 7), 10.0, 3, 4.5
+#: Lengths of beginnings in characters, the prior's weight, and the least count of a feature.
+BEGINNINGS, PRIOR, LEAST = (4, 5, 6, 7), 10.0, 3
+#: A feature is kept from so many standard deviations below the largest that chance gives among all features counted.
+LENIENT = 0.4
 #: Score of a token without a feature.
 OTHER = -0.03
 #: Evidence from which a segment is reported, and the most that counts for the score.
@@ -144,8 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "t
     odds = F.log((t + prior) / (F.lit(toxic) - t + 1)) - F.log((c + prior) / (F.lit(clean) - c + 1))
     share = lambda seen, whole: F.when(seen > 0, seen * F.log(seen * (toxic + clean) / (both * whole))).otherwise(0.0)
     rank = F.sqrt(F.greatest(F.lit(0.0), 2 * (share(t, toxic) + share(c, clean))))
-    kept = counts.where(~F.col("feature").isin(" ", "  ")).select("feature", odds.alias("odds"), rank.alias("rank")).where((F.col("odds") > 0) & (F.col("rank") >= SIGNIFICANT))
-    best = kept.orderBy(F.desc("rank"), "feature").limit(FEATURES).collect()
+    kept = counts.where(~F.col("feature").isin(" ", "  ")).select("feature", odds.alias("odds"), rank.alias("rank")).where(F.col("odds") > 0)
+    significant = math.sqrt(2 * math.log(max(2, counts.count()))) - LENIENT
+    best = kept.where(F.col("rank") >= significant).orderBy(F.desc("rank"), "feature").limit(FEATURES).collect()
     model = Model({r.feature: r.odds for r in best}, {r.feature: r.rank for r in best})
     return _calibrated(model, rows)
 
