@@ -158,6 +158,11 @@ class Engine:
         with self._timed(name, "delete"):
             self._store(name).delete(self.spark.createDataFrame([(normalise_id(i),) for i in ids], "id string"))
 
+    def delete_dataframe(self, name: str, ids: DataFrame) -> None:
+        """ids: one column id, of canonical ids."""
+        with self._timed(name, "delete"):
+            self._store(name).delete(ids)
+
     def delete_by_filter(self, name: str, spec: dict[str, Any]) -> int:
         store = self._store(name)
         with self._timed(name, "delete"):

@@ -57,14 +57,7 @@ def batch_search(points: DataFrame, queries: DataFrame, k: int, metric: str, thr
     Queries go out in blocks of bounded size, and each pass scores Arrow batches of points against a block as one matrix
     product; a task keeps k rows for each query, so what is shuffled doesn't grow with the points of a task.
     """
-    count = queries.count()
-    passes = 1 + (count - 1) // block if count else 1
-    found = None
-    for i in range(passes):
-        some = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i)
-        rows = some.select("qid", "vector").collect()  # `block` rows, about
-        part = points.select("slot", "id", "vector").mapInArrow(_best_of([r.qid for r in rows], [r.vector for r in rows], k, metric, threshold), "qid long, slot long, id string, score double")
-        found = part if found is None else found.unionByName(part)
+    found = _in_blocks(points, queries, block, lambda qids, vectors: _best_of(qids, vectors, k, metric, threshold))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("slot"))
     top = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
     return top.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "slot")))
@@ -80,11 +73,11 @@ def _best_of(qids: list[int], vectors: list[list[float]], k: int, metric: str, t
             points = np.stack(batch.column(2).to_numpy(zero_copy_only=False))
             s = D.scores(metric, q, points)
             slots = batch.column(0).to_numpy()
-            order = np.lexsort((-slots[None, :].repeat(len(q), 0), -s), axis=1)[:, :k]
-            row = np.repeat(np.arange(len(q)), order.shape[1])
-            flat = order.ravel()
-            keep = np.ones(len(flat), bool) if threshold is None else s[row, flat] >= threshold
-            new = pa.table({"qid": pa.array(np.array(qids, np.int64)[row][keep]), "slot": pa.array(slots[flat][keep]), "id": batch.column(1).take(pa.array(flat[keep])), "score": pa.array(s[row, flat][keep])})
+            enough = np.ones(s.shape, bool) if threshold is None else s >= threshold
+            if s.shape[1] > k:
+                enough &= s >= np.partition(s, s.shape[1] - k, axis=1)[:, -k][:, None]  # and what ties with the last
+            row, at = np.nonzero(enough)
+            new = pa.table({"qid": pa.array(np.array(qids, np.int64)[row]), "slot": pa.array(slots[at]), "id": batch.column(1).take(pa.array(at)), "score": pa.array(s[row, at])})
             both = new if best is None else pa.concat_tables([best, new])
             ranked = both.sort_by([("qid", "ascending"), ("score", "descending"), ("slot", "descending")])
             ids = ranked.column("qid").to_numpy()
@@ -97,6 +90,31 @@ def _best_of(qids: list[int], vectors: list[list[float]], k: int, metric: str, t
     return run
 
 
-def similarity_join(points: DataFrame, queries: DataFrame, floor: float, metric: str) -> DataFrame:
-    """All (qid, id, score) with a score of floor or more. The queries' vectors are broadcast in blocks by batch_search."""
-    return batch_search(points, queries, 1 << 30, metric, floor).select("qid", "id", "score")
+def _in_blocks(points: DataFrame, queries: DataFrame, block: int, task) -> DataFrame:
+    """Points passed through task(qids, vectors) for each block of about `block` queries."""
+    count = queries.count()
+    passes = 1 + (count - 1) // block if count else 1
+    found = None
+    for i in range(passes):
+        some = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i)
+        rows = some.select("qid", "vector").collect()
+        part = points.select("slot", "id", "vector").mapInArrow(task([r.qid for r in rows], [r.vector for r in rows]), "qid long, slot long, id string, score double")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def similarity_join(points: DataFrame, queries: DataFrame, floor: float, metric: str, block: int = 1024) -> DataFrame:
+    """All (qid, id, score) with a score of floor or more; nothing is shuffled. Queries go out in blocks as in batch_search()."""
+
+    def all_near(qids: list[int], vectors: list[list[float]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q = np.array(vectors, np.float64)
+            for batch in batches:
+                if batch.num_rows and len(qids):
+                    s = D.scores(metric, q, np.stack(batch.column(2).to_numpy(zero_copy_only=False)))
+                    row, at = np.nonzero(s >= floor)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(qids, np.int64)[row]), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(s[row, at])], ["qid", "slot", "id", "score"])
+
+        return run
+
+    return _in_blocks(points, queries, block, all_near).select("qid", "id", "score")

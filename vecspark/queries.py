@@ -385,7 +385,7 @@ def apply_txn(spark, sf_dir):
 @query(f"SELECT id, row_number() OVER (ORDER BY n) - 1 AS slot, x0, color, label FROM ({_LOADED}) WHERE n % 5 <> 0")
 def compact_renumber(spark, sf_dir):
     engine = collection(spark, sf_dir)
-    engine.delete_batch("c", [r.id for r in points(spark, sf_dir).where("slot % 5 = 0").select("id").collect()])
+    engine.delete_dataframe("c", points(spark, sf_dir).where("slot % 5 = 0").select("id"))
     engine.compact("c")
     return state(engine)
 
