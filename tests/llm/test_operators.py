@@ -43,7 +43,9 @@ def by_id(df, *columns):
     return {r.doc_id: tuple(r[c] for c in columns) for r in df.collect()}
 
 
-def test_repeated_strings(docs, none):
+@pytest.mark.parametrize("hot", [2, 256])
+def test_repeated_strings(docs, none, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)
     got = suffixes.remove_repeats(docs)
     rows = {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), brute.sha(bytes(r.kept))) for r in got.collect()}
     assert rows == {i: want for (i, _), want in zip(awkward(), brute.repeats(awkward()), strict=True)}
@@ -58,8 +60,9 @@ def test_repeated_strings_with_ids_that_come_again(spark):
     assert got[4][2] == len((a + b).encode())
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_repeats_in_texts_of_few_letters(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(0, 256), (1, 2), (2, 2)])
+def test_repeats_in_texts_of_few_letters(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)
     r = random.Random(seed)
     parts = ["".join(r.choice("ab") for _ in range(60)) for _ in range(6)]
     rows = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 12)))) for i in range(40)]

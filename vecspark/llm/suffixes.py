@@ -6,7 +6,8 @@ buckets of an anchor that comes twice matter.
 
 1. Anchors are counted. Of equal ones in one task a single row is sent, so a passage that all documents share costs a row
    for each task.
-2. For each repeated anchor its surroundings are sent to its bucket, equal ones of a task once.
+2. For each repeated anchor its surroundings are sent to its bucket, equal ones of a task once. The buckets of the most
+   frequent anchors are split by more of what stands around them.
 3. A bucket's suffixes are sorted by blocks: ranks of the suffixes at a difference cover's places are computed once, from
    right to left; any other suffix is sorted by its few bytes up to the next such place and the rank found there. Neighbours
    in this order that agree in WINDOW bytes are equal strings. Memory is bounded by the rows of a block of buckets.
@@ -38,6 +39,10 @@ COVER, MODULUS = (0, 1, 3), 7
 PLACE_BITS = 26
 #: Anchors that a task gathers before it sends them, and rows that are sorted together.
 GATHERED, SORTED = 2_000_000, 100_000
+#: An anchor is hot if it comes so often, and so many are told of at most; the others' buckets are just not split.
+HOT, MOST_HOT = 256, 20_000
+#: Runs of columns that a hot anchor's windows are sent in.
+PARTS = 4
 #: Keys of copies that are broadcast at most, 8 bytes each.
 MOST_BROADCAST = 2_000_000
 _BASE = 0x9E3779B97F4A7C15
@@ -62,12 +67,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 _LETTER = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
+def _sums(raw: np.ndarray) -> np.ndarray:
+    """Of each beginning of raw, the sum by which any stretch is hashed."""
+    return np.concatenate([[np.uint64(0)], np.cumsum(_LETTER[raw] * _power(_BASE, len(raw)), dtype=np.uint64)])
+
+
+def stretch_hashes(sums: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each raw[start:start + size], the same wherever it stands."""
+    with np.errstate(over="ignore"):
+        return _mixed((sums[start + size] - sums[start]) * _power(_INVERSE, len(sums))[start])
+
+
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
     """A hash of raw[i:i + GRAM] for each i."""
-    n = len(raw)
+    sums = _sums(raw)
     with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_LETTER[raw] * _power(_BASE, n), dtype=np.uint64)])
-        return _mixed((sums[GRAM:] - sums[:-GRAM]) * _power(_INVERSE, n - GRAM + 1))
+        return _mixed((sums[GRAM:] - sums[:-GRAM]) * _power(_INVERSE, len(raw) - GRAM + 1))
 
 
 def anchors(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,23 +117,15 @@ def _unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return packed >> 14, packed >> 7 & 127, packed & 127
 
 
-def _send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, text) to (key, rid, packed): packed is doubled, and odd if the anchor came before in this task.
-
-    Of equal anchors one row has the hash as its key; the others are known to be repeated and get a key that spreads them.
-    """
+def _sorted_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rid, text) to hash, rid and packed of the anchors, GATHERED at a time or a little more, sorted by hash."""
     gathered: list[tuple[np.ndarray, ...]] = []
 
-    def flush() -> pa.RecordBatch:
+    def flush() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h, rid, packed = (np.concatenate(x) for x in zip(*gathered, strict=True))
         gathered.clear()
         order = np.argsort(h, kind="stable")
-        h, rid, packed = h[order], rid[order], packed[order]
-        same = h[1:] == h[:-1]
-        again, repeated = np.concatenate([[False], same]), np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        with np.errstate(over="ignore"):
-            spread = _mixed(rid.view(np.uint64) * np.uint64(_BASE) + packed.view(np.uint64)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.where(again, spread, h)), pa.array(rid), pa.array(packed * 2 + repeated)], ["key", "rid", "packed"])
+        return h[order], rid[order], packed[order]
 
     for batch in pieces(batches):
         text, h, packed = anchors(*flat(batch.column(1)))
@@ -129,6 +136,27 @@ def _send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield flush()
 
 
+def _send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, text) to (key, rid, packed): packed is doubled, and odd if the anchor came more than once in this task.
+
+    Of equal anchors one row has the hash as its key; the others are known to be repeated and get a key that spreads them.
+    """
+    for h, rid, packed in _sorted_anchors(batches):
+        same = h[1:] == h[:-1]
+        again, repeated = np.concatenate([[False], same]), np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        with np.errstate(over="ignore"):
+            spread = _mixed(rid.view(np.uint64) * np.uint64(_BASE) + packed.view(np.uint64)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(again, spread, h)), pa.array(rid), pa.array(packed * 2 + repeated)], ["key", "rid", "packed"])
+
+
+def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, text) to (key, n) of the anchors that come twice or more in this task."""
+    for h, _, _ in _sorted_anchors(batches):
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+        n = np.diff(np.append(first, len(h)))
+        yield pa.RecordBatch.from_arrays([pa.array(h[first[n > 1]]), pa.array(n[n > 1])], ["key", "n"])
+
+
 def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
     """Tables of about `rows` rows, cut where the first column, which is sorted, changes."""
     kept: list[pa.RecordBatch] = []
@@ -154,33 +182,50 @@ def _keep_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(rid[keep]), pa.array(packed[keep] >> 1)], ["rid", "packed"])
 
 
-def _send_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, text, packed array, copy, ...) to (key, rid, packed, around): the bytes of all windows of each repeated anchor."""
-    for batch in pieces(batches):
-        batch = batch.filter(pc.and_(batch.column(2).is_valid(), batch.column(3).is_null()))
-        raw, at = flat(batch.column(1))
-        lists = batch.column(2)
-        if not len(lists):
-            continue
-        number = np.diff(lists.offsets.to_numpy())
-        packed = lists.flatten().to_numpy()
-        if not len(packed):
-            continue
-        text = np.repeat(np.arange(len(number)), number)
-        place, before, count = _unpacked(packed)
-        key = gram_hashes(raw)[at[text] + place].view(np.int64)
-        rid = batch.column(0).to_numpy()[text]
-        start = at[text] + place - before
-        end = start + count + WINDOW - 1
-        whole = raw.tobytes()
-        around = [whole[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        first: dict[tuple, int] = {}  # rows come by (rid, place) in no special order: the least one of equals stays
-        for i, same in enumerate(zip(key.tolist(), (packed & 16383).tolist(), around, strict=True)):
-            j = first.setdefault(same, i)
-            if j != i and (rid[i], place[i]) < (rid[j], place[j]):
-                first[same] = i
-        some = np.fromiter(first.values(), np.int64, len(first))
-        yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(rid[some]), pa.array(packed[some]), pa.array([around[i] for i in some.tolist()], pa.binary())], ["key", "rid", "packed", "around"])
+def _send_surroundings(hot: np.ndarray):
+    """(rid, text, packed array, copy, ...) to (key, rid, packed, around): the bytes of all windows of each repeated anchor.
+
+    The bucket of a hot anchor is split: its windows go in PARTS runs of columns, each keyed by what all windows of such a
+    run have in common, so surroundings that differ there part ways. Equal ones of a task are sent once.
+    """
+    step = -(-GRAMS // PARTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            batch = batch.filter(pc.and_(batch.column(2).is_valid(), batch.column(3).is_null()))
+            if not batch.num_rows:
+                continue
+            raw, at = flat(batch.column(1))
+            lists = batch.column(2)
+            number = np.diff(lists.offsets.to_numpy())
+            packed = lists.flatten().to_numpy()
+            text = np.repeat(np.arange(len(number)), number)
+            sums, (place, before, count) = _sums(raw), _unpacked(packed)
+            key = stretch_hashes(sums, at[text] + place, GRAM).view(np.int64)
+            found = np.minimum(np.searchsorted(hot, key), max(0, len(hot) - 1))
+            is_hot = hot[found] == key if len(hot) else np.zeros(len(key), bool)
+            cold = np.flatnonzero(~is_hot)
+            sent = [(cold, key[cold], before[cold], count[cold])]
+            first = GRAMS - 1 - before
+            for low in range(0, GRAMS, step) if is_hot.any() else ():
+                high = min(low + step, GRAMS)  # columns low to high - 1
+                start, end = np.maximum(first, low), np.minimum(first + count, high)
+                own = np.flatnonzero(is_hot & (start < end))
+                common = stretch_hashes(sums, at[text[own]] + place[own] - (GRAMS - 1) + high - 1, WINDOW - (high - 1 - low))
+                sent.append((own, common.view(np.int64), GRAMS - 1 - start[own], (end - start)[own]))
+            row, key, before, count = (np.concatenate(x) for x in zip(*sent, strict=True))
+            rid, begin = batch.column(0).to_numpy()[text[row]], at[text[row]] + place[row] - before
+            whole = raw.tobytes()
+            around = [whole[a:b] for a, b in zip(begin.tolist(), (begin + count + WINDOW - 1).tolist(), strict=True)]
+            least: dict[tuple, int] = {}
+            order = np.lexsort((place[row], rid))
+            for i in order[::-1].tolist():
+                least[key[i], before[i], around[i]] = i
+            some = np.fromiter(least.values(), np.int64, len(least))
+            new = place[row] << 14 | before << 7 | count
+            yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(rid[some]), pa.array(new[some]), pa.array([around[i] for i in some.tolist()], pa.binary())], ["key", "rid", "packed", "around"])
+
+    return run
 
 
 def _aligned(packed: np.ndarray, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -326,11 +371,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     first_of_all = rows.where(F.octet_length("text") >= WINDOW).select("rid", "text")
     if copies.count() <= MOST_BROADCAST:  # else their anchors count as repeated ones, which costs more but changes nothing
         first_of_all = first_of_all.join(F.broadcast(copies.select("rid")), "rid", "left_anti")
+    often = first_of_all.mapInArrow(_count_anchors, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
+    hot = np.sort(np.array([r.key for r in often.orderBy(F.desc("n"), "key").limit(MOST_HOT).collect()], np.int64))
     sent = first_of_all.mapInArrow(_send_anchors, "key long, rid long, packed long")
     repeated = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_keep_repeated, "rid long, packed long").groupBy("rid").agg(F.collect_list("packed").alias("packed"))
     # Both uses of `found` take all its columns, so that Spark shuffles the texts once for both.
     found = rows.join(repeated, "rid", "left").join(copies, "rid", "left").select("rid", "text", "packed", "copy", "doc_id")
-    around = found.mapInArrow(_send_surroundings, "key long, rid long, packed long, around binary")
+    around = found.mapInArrow(_send_surroundings(hot), "key long, rid long, packed long, around binary")
     runs = around.repartition("key").sortWithinPartitions("key").mapInArrow(_find_first, "rid long, run long").groupBy("rid").agg(F.collect_list("run").alias("runs"))
     last = found.join(runs, "rid", "left")
     return last.mapInArrow(_finish, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes long, kept binary, spans array<struct<start: bigint, end: bigint>>")
