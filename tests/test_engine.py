@@ -115,6 +115,11 @@ def test_indexes_change_speed_only(engine, spark):
         engine.create_payload_index("flat", "price", "float")
     assert engine.delete_payload_index("flat", "price") and not engine.delete_payload_index("flat", "price")
     assert engine.index_drift("ivf") == pytest.approx(0, abs=1e-6)
+    engine.delete("hnsw", 199)
+    assert engine.needs_checkpoint("hnsw") and engine.stale_ratio("hnsw") == pytest.approx(1 / 200)
+    assert "199" not in {r.id for r in engine.search("hnsw", asked).collect()}
+    assert engine.repair_index("hnsw") and engine.has_index("hnsw") and not engine.repair_index("hnsw")
+    assert "199" not in {r.id for r in engine.search("hnsw", asked).collect()}
     engine.drop_index("ivf")
     assert not engine.has_index("ivf") and engine.run_maintenance_sweep()["ivf"] == []
 

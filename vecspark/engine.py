@@ -36,6 +36,14 @@ class Engine:
         self.metrics: dict[str, Counter] = {}
         self.defaults: dict[str, Any] = {"hnsw": HnswConfig(), "ivf": IvfConfig(), "quantization": None}
 
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> Engine:
+        return cls(spark, root)
+
+    @property
+    def root_dir(self) -> str:
+        return self.files.root
+
     def __enter__(self) -> Engine:
         return self
 
@@ -406,6 +414,8 @@ class Engine:
         assigned = ivf.assign(store.points(manifest), np.array(manifest["index"]["centroids"]), config.metric)
         return ivf.drift(assigned, manifest["index"]["baseline"] or 0.0)
 
+    get_index_metadata = index_info
+
     # Upkeep
 
     def drain_pending(self, name: str) -> int:
@@ -426,6 +436,24 @@ class Engine:
         with self._timed(name, "compact"):
             return self._store(name).compact()
 
+    def needs_checkpoint(self, name: str) -> bool:
+        """Whether changes wait in the log, so that searches can't use an index."""
+        return bool(self._store(name).manifest()["log"])
+
+    def stale_ratio(self, name: str) -> float:
+        """Changes since the index was built, as a share of the points that it was built of."""
+        manifest = self._store(name).manifest()
+        if not manifest["index"] or not manifest["log"]:
+            return 0.0
+        return self._store(name).changes(manifest) / max(1, manifest["index"]["built"])
+
+    def repair_index(self, name: str) -> bool:
+        """Builds the index again if it is stale; shards have no links to what was deleted then."""
+        if self.stale_ratio(name) <= 0:
+            return False
+        self.drain_pending(name)
+        return True
+
     def needs_compaction(self, name: str) -> bool:
         manifest = self._store(name).manifest()
         return manifest["next_slot"] > 0 and 1 - self.count(name) / manifest["next_slot"] > manifest["config"]["compaction_ratio"]

@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -27,7 +27,7 @@ from vecspark.llm.common import pieces, table
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = (-1, "", "")
 #: Pieces whose encoding a worker remembers before it starts afresh, their longest length in characters, and pairs of tokens.
-REMEMBERED, SHORT, PAIRS = 400_000, 48, 200_000
+REMEMBERED, SHORT, PAIRS = 250_000, 48, 100_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -61,7 +61,7 @@ class Codec:
                 self.ends.add_word(s, len(s))
         self.ends.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def _merged(self, parts: list[str]) -> list[str]:
         """parts after all merges, least rank first; for single tokens and pairs of tokens only."""
@@ -118,26 +118,26 @@ class Codec:
             at -= len(token)
         return tuple(ids[::-1])
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def encode(self, text: str) -> np.ndarray:
+        out: list[bytes] = []
         known = self.known
         for i, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if i % 2:
-                out.append(self.added[part])
+                out.append(array("i", [self.added[part]]).tobytes())
                 continue
             parts = self.split.findall(part)
             if len(known) > REMEMBERED:
                 known.clear()
             new = set(parts).difference(known)
             for x in new:
-                known[x] = self.piece(x.encode().decode("latin-1"))
-            out.extend(chain.from_iterable(map(known.__getitem__, parts)))
+                known[x] = array("i", self.piece(x.encode().decode("latin-1"))).tobytes()
+            out.append(b"".join(map(known.__getitem__, parts)))
             for x in new:
                 if len(x) > SHORT:
                     del known[x]
-        return out
+        return np.frombuffer(b"".join(out), np.int32)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
@@ -160,7 +160,7 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", out: str = "ids")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value)
         for batch in pieces(batches, column):
-            ids = [np.array(codec.encode(x or ""), np.int32) for x in batch.column(column).to_pylist()]
+            ids = [codec.encode(x or "") for x in batch.column(column).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             column_of_ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([*batch.columns, column_of_ids], [*batch.schema.names, out])

@@ -129,3 +129,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
     """All pairs of a document and a test item that it contains to 0.8 or more."""
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _shingles_sql(key: str, relation: str) -> str:
+    words = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"SELECT DISTINCT {key}, unnest(list_transform(range(1, greatest(1, len(w) - {SHINGLE - 1}) + 1), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))) AS s FROM (SELECT {key}, {words} AS w FROM {relation}) WHERE len(w) > 0"
+
+
+OP5_SQL = f"""
+WITH items AS ({_shingles_sql("item_id", "benchmark")}), sizes AS (SELECT item_id, count(*) AS n_shingles FROM items GROUP BY item_id)
+SELECT doc_id, item_id, shared, n_shingles, shared / n_shingles AS containment
+FROM (SELECT doc_id, item_id, count(*) AS shared FROM ({_shingles_sql("doc_id", "documents")}) JOIN items USING (s) GROUP BY ALL) JOIN sizes USING (item_id)
+WHERE shared >= {THRESHOLD} * n_shingles - 1e-9
+"""

@@ -50,10 +50,10 @@ def assign_shards(df: DataFrame, key: str, weights: Sequence[float], extra_weigh
 def number_rows(df: DataFrame, by: str, order: Sequence[str], group_rows: int = GROUP_ROWS) -> DataFrame:
     """df with slot long: 0, 1, 2 ... within each value of `by`, without gaps.
 
-    A shard is numbered in groups of about group_rows rows: each group by itself, from where the groups before it end, so no
-    task has to hold a whole shard. Rows that agree in `order` take their slots in any order.
+    Rows are numbered in groups of group_rows rows at most, about: each by itself, from where the groups before it end, so
+    no task has to hold a whole shard. Rows that agree in `order` take their slots in any order.
     """
-    groups = max(1, math.ceil(df.count() / group_rows / 8))
+    groups = max(1, math.ceil(df.count() / group_rows))
     dealt = df.withColumn("_group", F.pmod(F.xxhash64(*order), F.lit(groups)))
     before = Window.partitionBy(by).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy(by, "_group").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -67,3 +67,22 @@ def op7_rendezvous(spark, sf_dir: str, shards: int = 40) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     placed = number_rows(assign_shards(rows, "doc_id", [1.0] * shards, 1.0), "shard", ["doc_id", "text_crc32"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+_TABLE = "list_transform(range(0, 256), lambda i: list_reduce([i] || range(0, 8), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"
+_COST = "-ln((('0x' || substr(md5(key || ':' || j), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+#: For tables of one group of the numbering.
+OP7_SQL = f"""
+WITH crc AS (SELECT {_TABLE} AS t), docs AS (
+    SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS key, coalesce(text, '') AS text FROM documents
+), placed AS (
+    SELECT doc_id, min_by(j, {_COST}) FILTER (j < 40) AS shard, min_by(j, {_COST}) AS grown_shard
+    FROM docs, (SELECT unnest(range(0, 41)) AS j) GROUP BY doc_id
+), sized AS (
+    SELECT doc_id, octet_length(encode(text)) + 16 AS size, xor(list_reduce([4294967295] || list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32
+    FROM docs, crc
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard,
+    row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32) - 1 AS slot, grown_shard::INT AS grown_shard
+FROM placed JOIN sized USING (doc_id)
+"""

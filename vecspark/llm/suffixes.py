@@ -38,7 +38,7 @@ COVER, MODULUS = (0, 1, 3), 7
 #: Low bits of a sliding key that hold the place in the text, so the leftmost of equal hashes is least.
 PLACE_BITS = 26
 #: Anchors that a task gathers before it sends them, and rows that are sorted together.
-GATHERED, SORTED = 2_000_000, 100_000
+GATHERED, SORTED = 1_000_000, 50_000
 #: An anchor is hot if it comes so often, and so many are told of at most; the others' buckets are just not split.
 HOT, MOST_HOT = 256, 20_000
 #: Runs of columns that a hot anchor's windows are sent in.

@@ -88,6 +88,10 @@ class Store:
         kept = base.join(changed.select("id"), "id", "left_anti")
         return kept.unionByName(changed.where("op = 'upsert'").select("slot", "id", "vector", "payload"), allowMissingColumns=True)
 
+    def changes(self, manifest: dict[str, Any]) -> int:
+        """Rows in the log."""
+        return self.spark.read.schema(LOG).parquet(*[self.files.at(f"{self.name}/{d}") for d in manifest["log"]]).count() if manifest["log"] else 0
+
     def _folded(self, base: DataFrame, manifest: dict[str, Any]) -> DataFrame:
         """A row for each id in the log: op delete, or upsert with the point as it now is."""
         log = self.spark.read.schema(LOG).parquet(*[self.files.at(f"{self.name}/{d}") for d in manifest["log"]])
