@@ -359,6 +359,9 @@ class Engine:
                 baseline = store.base(manifest).agg(F.avg("list_distance")).first()[0]
                 manifest["index"] = {"kind": "Ivf", "centroids": centroids.tolist(), "baseline": baseline, "built": n}
             else:
+                if manifest["log"]:  # searches use the graph only where no change waits
+                    store.fold(manifest)
+                    live = store.points(manifest, wide=True)
                 folder = f"graph-{manifest['version']}-{manifest['changed']}"
                 graph.build(live, config.metric, config.hnsw).write.mode("overwrite").parquet(store.files.at(f"{name}/{folder}"))
                 manifest["index"] = {"kind": "Hnsw", "folder": folder, "built": n}
