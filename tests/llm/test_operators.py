@@ -180,6 +180,15 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score_texts(none, empty).count() == 0 and by_id(toxicity.score_texts(docs, empty), "toxicity")[3][0] < 0.5
 
 
+def test_equal_toxic_passages_are_all_found(spark):
+    model = toxicity.Model({"vile": 3.0, "moronic": 4.0, "scumbag": 5.0}, {"vile": 9.0, "moronic": 9.0, "scumbag": 9.0})
+    calm, passage = "calm " * 1000, "vile moronic scumbag " * 2
+    texts = [passage + calm + passage, "vile " + calm + "moronic " + calm + passage, "vile " * 50]
+    found = by_id(toxicity.score_texts(spark.createDataFrame(list(enumerate(texts)), DOCS), model), "toxic_passages")
+    assert [(s.start, s.end) for s in found[0][0]] == [(0, 6), (1006, 1012)] and found[0][0][0].evidence == found[0][0][1].evidence
+    assert [(s.start, s.end) for s in found[1][0]] == [(2002, 2008)] and [(s.start, s.end) for s in found[2][0]] == [(0, 50)]
+
+
 def test_shards(spark, docs, none):
     placed = sharding.number_rows(sharding.assign_shards(docs, "doc_id", [1.0] * 40, 1.0), "shard", ["doc_id"], group_rows=1)
     rows = {r.doc_id: r for r in placed.collect()}

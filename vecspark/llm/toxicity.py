@@ -66,19 +66,15 @@ class Scorer:
         self.model, self.memo = model, {}
 
     def positives(self, text: bytes) -> tuple[int, list[tuple[int, float]]]:
-        """How many tokens text has, and (place, score) of those above zero. A token that comes again scores nothing."""
+        """How many tokens text has, and (place, score) of those above zero. Each occurrence scores by itself."""
         words = text.translate(LETTERS).split()
         if len(self.memo) > REMEMBERED:
             self.memo.clear()
         for w in set(words).difference(self.memo):
             self.memo[w] = self.model.token(w.decode())
         scores = np.fromiter(map(self.memo.__getitem__, words), float, len(words))
-        seen, out = set(), []
-        for i in np.flatnonzero(scores > 0).tolist():
-            if words[i] not in seen:
-                seen.add(words[i])
-                out.append((i, float(scores[i])))
-        return len(words), out
+        at = np.flatnonzero(scores > 0)
+        return len(words), list(zip(at.tolist(), scores[at].tolist(), strict=True))
 
     def segments(self, n: int, positives: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
         """(first token, end token exclusive, score) of all maximal scoring segments."""
