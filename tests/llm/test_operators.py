@@ -229,6 +229,19 @@ def test_secrets(spark, docs, none):
     assert secrets.find_secrets(docs).count() == 20 and secrets.find_secrets(none).count() == 0
 
 
+def test_redaction_leaves_no_byte_of_a_private_key(spark):
+    r = random.Random(5)
+    lines = ["".join(r.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(64)) for _ in range(6)] + ["Zz9+/Q=="]
+    begin, end, info = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF", ""]
+    whole = [sep.join([begin, *lines, end]) for sep in ("\n", "\r\n", "\\n", " ", "\n    ", '\\n" +\n  "', "\n> ")]
+    keys = [*whole, "\n".join([begin, *info, *lines, end]), "\n".join([begin, *lines]), "\n".join([begin, *info, *lines]), "\\n".join([begin, *lines]), begin + "\n" + lines[0][:9], whole[0] + "\n" + whole[0]]
+    texts = [f"épée before {key}\n\nand the text behind it." for key in keys] + [f"One {begin} in a sentence stays readable.", whole[0]]
+    kept = {i: t for i, (t,) in by_id(secrets.redact(secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), DOCS))), "text").items()}
+    assert all(kept[i] == "épée before [REDACTED]\n\nand the text behind it." for i in range(len(keys) - 1))
+    assert kept[len(keys) - 1] == "épée before [REDACTED]\n[REDACTED]\n\nand the text behind it."
+    assert kept[len(keys)] == "One [REDACTED] in a sentence stays readable." and kept[len(keys) + 1] == "[REDACTED]"
+
+
 def test_automaton_ends_where_expressions_match():
     import re
 

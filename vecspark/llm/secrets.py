@@ -2,6 +2,7 @@
 
 The automaton tells where which rule matches. A byte after which every state is the start again ends a segment that no match
 leaves, so the rule's own expression is searched only in such segments, which gives the leftmost matches that don't overlap.
+A private key goes on over many lines, so its expression is searched from the first such segment to the end of the text.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ class Rule:
     #: A match counts if this group (0: all) has so many characters.
     group: int = 0
     least: int = 0
+    #: Whether a match may go on behind the segment in which it begins.
+    lines: bool = False
 
 
 _NAME = rb"(password|passwd|secret|token|api_?key)"
@@ -37,8 +40,15 @@ BASE_RULES = (
     Rule("access", rb"AKIA[A-Z0-9]", rb"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", rb"[0-9a-f]{32,}", rb"[0-9a-f]+", 0, 32),
 )
+_BEGIN = rb"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+#: All up to END, unless another BEGIN or END comes first.
+_TO_END = rb"(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]*PRIVATE KEY-----"
+#: What parts lines of a key: line ends, real or written, with indents, quotes and the like.
+_GAP = rb"(?:\\+[rnt]|\\+(?=\s)|<br\s*/?>|[\s\"'>|#*+,;])++"
+#: Where END is missing: headers, lines of base64 and a shorter last one; or one line alone, cut short.
+_LINES = rb"(?:" + _GAP + rb"[A-Za-z-]+:\x20[^\r\n\\]*)*(?:" + _GAP + rb"[A-Za-z0-9+/]{16,}+=*)+(?:" + _GAP + rb"[A-Za-z0-9+/]++=*)?|" + _GAP + rb"[A-Za-z0-9+/]++=*(?=[\r\n\\\"'<]|\Z)"
 MORE_RULES = (
-    Rule("pem", rb"-----BEGIN [A-Z ]*PRIVATE KEY-----", rb"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", _BEGIN, _BEGIN + rb"(?:" + _TO_END + rb"|" + _LINES + rb"|)", lines=True),
     Rule("jwt", rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]", rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     Rule("forge", rb"gh[pousr]_[A-Za-z0-9]", rb"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("chat", rb"xox[abprs]-[A-Za-z0-9-]", rb"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
@@ -66,9 +76,10 @@ class Finder:
             while cuts[at + 1] < end:
                 at += 1
             for i, rule in enumerate(self.rules):
-                if bits >> i & 1 and (i, at) not in seen:
-                    seen.add((i, at))
-                    for m in self.spans[i].finditer(data, cuts[at], min(cuts[at + 1], len(data))):
+                key = (i, -1 if rule.lines else at)
+                if bits >> i & 1 and key not in seen:
+                    seen.add(key)
+                    for m in self.spans[i].finditer(data, cuts[at], len(data) if rule.lines else min(cuts[at + 1], len(data))):
                         if m.end(rule.group) - m.start(rule.group) >= rule.least:
                             found.append((i, m.start(), m.end()))
         return sorted(found, key=lambda x: (x[1], x[0]))
