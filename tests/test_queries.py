@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -31,3 +32,13 @@ def test_query_equals_its_sql(spark, name):
 
 def test_entry_gives_rows(spark):
     assert entry.entry(spark).count() == 10
+
+
+def test_similarity_self_join_counts_all_links(spark, tmp_path):
+    rows = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
+    rows.unionByName(rows.where("vec_id % 7 = 1").withColumn("vec_id", F.col("vec_id") + 1_000_001)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in entry.queries()["duplicate_classes_by_embedding"](spark, str(tmp_path)).select("id", "class_id", "links").collect())
+    assert got == sorted(con.sql(f"SELECT id, class_id, links FROM ({entry.oracle_sql()['duplicate_classes_by_embedding']})").fetchall())
+    assert any(i != c for i, c, _ in got) and any(n for i, _, n in got if i % 50)

@@ -250,6 +250,25 @@ def duplicate_docs_by_embedding(spark, sf_dir):
     return pairs.where((F.col("id") != F.col("qid").cast("string")) & (F.col("score") >= 0.2))
 
 
+_CLASSES = "SELECT vec_id, embedding, min(vec_id) OVER (PARTITION BY embedding) AS class_id FROM embeddings"
+
+
+@query(f"SELECT q.vec_id AS id, any_value(q.class_id) AS class_id, count(*) FILTER (WHERE e.vec_id <> q.vec_id AND round({_SCORE['Cosine'].replace('a[', 'e.embedding[').replace('b[', 'q.embedding[')}, 6) >= 0.2) AS links FROM ({_CLASSES}) q, embeddings e GROUP BY q.vec_id")
+def duplicate_classes_by_embedding(spark, sf_dir):
+    """All embeddings joined with themselves: of each, its class of equal vectors (their smallest vec_id) and its number of links.
+
+    Each distinct vector is compared once, for all rows of its class.
+    """
+    rows = embeddings(spark, sf_dir)
+    classes = rows.groupBy("embedding").agg(F.min("vec_id").alias("slot"), F.count("*").alias("size"), F.collect_list("vec_id").alias("ids"))
+    one = classes.select("slot", F.col("slot").cast("string").alias("id"), F.col("embedding").alias("vector"))
+    pairs = S.similarity_join(one, one.select(F.col("slot").alias("qid"), "vector"), 0.2 - 1e-6, "Cosine").where(F.round("score", 6) >= 0.2)
+    sizes = classes.select(F.col("slot").cast("string").alias("id"), "size")
+    linked = pairs.join(sizes, "id").withColumn("n", F.col("size") - F.when(F.col("id") == F.col("qid").cast("string"), 1).otherwise(0)).groupBy("qid").agg(F.sum("n").alias("links"))
+    members = classes.select(F.col("slot").alias("class_id"), F.explode("ids").alias("id"))
+    return members.join(linked, members["class_id"] == linked["qid"], "left").select("id", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 @query("SELECT vec_id AS slot, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS one FROM embeddings WHERE vec_id < 20")
 def normalize_l2(spark, sf_dir):
     unit = D.normalised(F.col("vector"))
