@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm.bpe import default_vocabulary, digest_ids, encode_texts
+from vecspark.llm.bpe import default_vocabulary, encode_texts
 from vecspark.llm.common import checkpointed, table
 from vecspark.llm.decontamination import find_contamination
 from vecspark.llm.secrets import find_secrets, redact
@@ -53,9 +53,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and the ids of each text, their number, and the digests of ids and decoded text."""
-    path = default_vocabulary()
-    encoded = encode_texts(docs.select("doc_id", "text"), path).drop("text")
-    return digest_ids(encoded.withColumn("_ids", F.col("ids")), path, "_ids")
+    return encode_texts(docs.select("doc_id", "text"), default_vocabulary(), digests=True).drop("text")
 
 
 STAGES = [
