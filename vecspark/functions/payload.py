@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vecspark.types import FilterError
+from vecspark.types import MOST_ID, FilterError
 
 
 class Field:
@@ -93,21 +93,21 @@ def select_keys(payload: Column, include: Iterable[str] | None, exclude: Iterabl
     return pick(payload)
 
 
-def merge_json(old: Column, new: Column) -> Column:
-    """The keys of new over those of old; a null is an empty object."""
-
-    @F.pandas_udf("string")
-    def merged(old: pd.Series, new: pd.Series) -> pd.Series:
-        return pd.Series([canonical({**json.loads(a or "{}"), **json.loads(b or "{}")}) for a, b in zip(old, new, strict=True)])
-
-    return merged(old, new)
-
-
-def without_keys(old: Column, keys: Column) -> Column:
-    """old less the keys; a null stays."""
-
-    @F.pandas_udf("string")
-    def reduced(old: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None else canonical({k: v for k, v in json.loads(a).items() if k not in set(drop)}) for a, drop in zip(old, keys, strict=True)])
-
-    return reduced(old, keys)
+def canonical_id(value: Column) -> Column:
+    """normalise_id() as an expression."""
+    text = value.cast("string")
+    short = F.regexp_replace(text, r"^\+?0*(?=[0-9])", "")
+    small = (F.length(short) < len(MOST_ID)) | (F.length(short) == len(MOST_ID)) & (short <= MOST_ID)
+    return F.when(text.rlike(r"^\+?[0-9]+$") & small, short).otherwise(text)
+
+
+def edited(payload: str | None, op: str, values: dict | None, keys: Iterable[str] = ()) -> str | None:
+    """A payload after set_payload, merge or delete_keys; merging nothing changes nothing."""
+    now = json.loads(payload) if payload is not None else None
+    if op == "set_payload":
+        now = dict(values or {})
+    elif op == "merge":
+        now = {**(now or {}), **values} if values else now
+    elif now is not None:
+        now = {k: v for k, v in now.items() if k not in set(keys)}
+    return None if now is None else canonical(now)

@@ -147,6 +147,10 @@ def coarse_width(kind: str, k: int, n: int, oversampling: float | None = None) -
 
 def two_stage(coarse: DataFrame, points: DataFrame, query: list[float], metric: str, k: int, width: int, offset: int = 0, threshold: float | None = None) -> DataFrame:
     """The best `width` rows of coarse (slot, id, score), scored again from their vectors."""
-    some = coarse.orderBy(F.desc("score"), F.desc("slot")).limit(width).select("slot")
+    some = best_coarse(coarse, width)
     exact = points.join(F.broadcast(some), "slot").select("slot", "id", D.score(metric, F.col("vector"), D.vector(query)).alias("score"))
     return rank_scored(exact, k, offset, threshold)
+
+
+def best_coarse(coarse: DataFrame, width: int) -> DataFrame:
+    return coarse.orderBy(F.desc("score"), F.desc("slot")).limit(width).select("slot")

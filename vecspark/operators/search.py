@@ -42,20 +42,29 @@ def search(points: DataFrame, query: SearchQuery, metric: str, dim: int, shadows
 
 
 def fetch(points: DataFrame, winners: DataFrame, query: SearchQuery) -> DataFrame:
-    wide = [c for c, asked in (("payload", query.with_payload), ("vector", query.with_vector)) if asked]
-    if not wide:
+    if not query.wide:
         return winners.select("id", "score")
-    found = points.select("slot", *wide).join(F.broadcast(winners), "slot")  # limit rows
+    found = projected(points.select("slot", *query.wide).join(F.broadcast(winners), "slot"), query)  # as many rows as asked for
+    return found.orderBy(F.desc("score"), "slot").select("id", "score", *query.wide)
+
+
+def projected(found: DataFrame, query: SearchQuery) -> DataFrame:
+    """found with the keys of payloads that the query asks for."""
     if query.with_payload and (query.include is not None or query.exclude):
-        found = found.withColumn("payload", select_keys(F.col("payload"), query.include, query.exclude))
-    return found.orderBy(F.desc("score"), "slot").select("id", "score", *wide)
+        return found.withColumn("payload", select_keys(F.col("payload"), query.include, query.exclude))
+    return found
+
 
+#: Bytes of queries that a pass over the points takes, and queries that are scored together.
+PASS_BYTES, TOGETHER = 64 << 20, 1024
 
-def batch_search(points: DataFrame, queries: DataFrame, k: int, metric: str, threshold: float | None = None, block: int = 1024) -> DataFrame:
+
+def batch_search(points: DataFrame, queries: DataFrame, k: int, metric: str, threshold: float | None = None, block: int | None = None) -> DataFrame:
     """queries: qid long, vector. Returns qid, id, slot, score, rank of the k best points for each query.
 
-    Queries go out in blocks of bounded size, and each pass scores Arrow batches of points against a block as one matrix
-    product; a task keeps k rows for each query, so what is shuffled doesn't grow with the points of a task.
+    A pass over the points takes `block` queries, by default as many as have PASS_BYTES. It scores Arrow batches of points
+    against TOGETHER of them as one matrix product; a task keeps k rows for each query, so what is shuffled doesn't grow with
+    the points of a task.
     """
     found = _in_blocks(points, queries, block, lambda qids, vectors: _best_of(qids, vectors, k, metric, threshold))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("slot"))
@@ -63,57 +72,62 @@ def batch_search(points: DataFrame, queries: DataFrame, k: int, metric: str, thr
     return top.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "slot")))
 
 
-def _best_of(qids: list[int], vectors: list[list[float]], k: int, metric: str, threshold: float | None):
+def _together(q: np.ndarray, metric: str, points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    for at in range(0, len(q), TOGETHER):
+        yield at, D.scores(metric, q[at : at + TOGETHER], points)
+
+
+def _best_of(qids: np.ndarray, vectors: np.ndarray, k: int, metric: str, threshold: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = np.array(vectors, np.float64)
-        best: pa.Table | None = None
+        best: dict[int, pa.Table] = {}
         for batch in batches:
             if not batch.num_rows or not len(qids):
                 continue
             points = np.stack(batch.column(2).to_numpy(zero_copy_only=False))
-            s = D.scores(metric, q, points)
             slots = batch.column(0).to_numpy()
-            enough = np.ones(s.shape, bool) if threshold is None else s >= threshold
-            if s.shape[1] > k:
-                enough &= s >= np.partition(s, s.shape[1] - k, axis=1)[:, -k][:, None]  # and what ties with the last
-            row, at = np.nonzero(enough)
-            new = pa.table({"qid": pa.array(np.array(qids, np.int64)[row]), "slot": pa.array(slots[at]), "id": batch.column(1).take(pa.array(at)), "score": pa.array(s[row, at])})
-            both = new if best is None else pa.concat_tables([best, new])
-            ranked = both.sort_by([("qid", "ascending"), ("score", "descending"), ("slot", "descending")])
-            ids = ranked.column("qid").to_numpy()
-            begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.empty(0, np.int64)
-            place = np.arange(len(ids)) - np.repeat(begin, np.diff(np.append(begin, len(ids))))
-            best = ranked.filter(pa.array(place < k))
-        if best is not None:
-            yield from best.combine_chunks().to_batches()
+            for at, s in _together(vectors, metric, points):
+                enough = np.ones(s.shape, bool) if threshold is None else s >= threshold
+                if s.shape[1] > k:
+                    enough &= s >= np.partition(s, s.shape[1] - k, axis=1)[:, -k][:, None]  # and what ties with the last
+                row, col = np.nonzero(enough)
+                new = pa.table({"qid": pa.array(qids[at + row]), "slot": pa.array(slots[col]), "id": batch.column(1).take(pa.array(col)), "score": pa.array(s[row, col])})
+                both = pa.concat_tables([best[at], new]) if at in best else new
+                ranked = both.sort_by([("qid", "ascending"), ("score", "descending"), ("slot", "descending")])
+                ids = ranked.column("qid").to_numpy()
+                begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.empty(0, np.int64)
+                place = np.arange(len(ids)) - np.repeat(begin, np.diff(np.append(begin, len(ids))))
+                best[at] = ranked.filter(pa.array(place < k))
+        for found in best.values():
+            yield from found.combine_chunks().to_batches()
 
     return run
 
 
-def _in_blocks(points: DataFrame, queries: DataFrame, block: int, task) -> DataFrame:
-    """Points passed through task(qids, vectors) for each block of about `block` queries."""
-    count = queries.count()
-    passes = 1 + (count - 1) // block if count else 1
+def _in_blocks(points: DataFrame, queries: DataFrame, block: int | None, task) -> DataFrame:
+    """Points passed through task(qids, vectors) for each block of queries, which goes out with the tasks."""
+    told = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    block = block or max(TOGETHER, PASS_BYTES // (8 * (told.dim or 1)))
+    passes = max(1, -(-told.n // block))
     found = None
     for i in range(passes):
         some = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i)
-        rows = some.select("qid", "vector").collect()
-        part = points.select("slot", "id", "vector").mapInArrow(task([r.qid for r in rows], [r.vector for r in rows]), "qid long, slot long, id string, score double")
+        rows = some.select(F.col("qid").cast("long"), F.col("vector").cast("array<double>")).toArrow()  # about `block` queries
+        vectors = np.array(rows.column(1).combine_chunks().flatten()).reshape(rows.num_rows, -1) if rows.num_rows else np.empty((0, 0))
+        part = points.select("slot", "id", "vector").mapInArrow(task(rows.column(0).to_numpy(), vectors), "qid long, slot long, id string, score double")
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def similarity_join(points: DataFrame, queries: DataFrame, floor: float, metric: str, block: int = 1024) -> DataFrame:
+def similarity_join(points: DataFrame, queries: DataFrame, floor: float, metric: str, block: int | None = None) -> DataFrame:
     """All (qid, id, score) with a score of floor or more; nothing is shuffled. Queries go out in blocks as in batch_search()."""
 
-    def all_near(qids: list[int], vectors: list[list[float]]):
+    def all_near(qids: np.ndarray, vectors: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q = np.array(vectors, np.float64)
             for batch in batches:
                 if batch.num_rows and len(qids):
-                    s = D.scores(metric, q, np.stack(batch.column(2).to_numpy(zero_copy_only=False)))
-                    row, at = np.nonzero(s >= floor)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(qids, np.int64)[row]), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(s[row, at])], ["qid", "slot", "id", "score"])
+                    for at, s in _together(vectors, metric, np.stack(batch.column(2).to_numpy(zero_copy_only=False))):
+                        row, col = np.nonzero(s >= floor)
+                        yield pa.RecordBatch.from_arrays([pa.array(qids[at + row]), batch.column(0).take(pa.array(col)), batch.column(1).take(pa.array(col)), pa.array(s[row, col])], ["qid", "slot", "id", "score"])
 
         return run
 

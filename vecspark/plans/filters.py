@@ -22,10 +22,13 @@ from vecspark.types import FilterError, normalise_id
 #: Fixed value: the mean radius of the Earth in metres.
 EARTH = 6_371_008.8
 SCALARS = ("STRING", "BOOLEAN")
+#: Whether an indexed field is read as a number, its column, and for others whether it holds an array.
+Shadow = tuple[bool, Column, Column]
 
 
-def compile_filter(spec: dict[str, Any] | str | None, payload: Column, point_id: Column | None = None, shadows: dict[str, Column] | None = None) -> Column:
-    """The filter over a payload column. shadows: typed columns of indexed fields, whose predicates reach the Parquet scan."""
+def compile_filter(spec: dict[str, Any] | str | None, payload: Column, point_id: Column | None = None, shadows: dict[str, Shadow] | None = None) -> Column:
+    """The filter over a payload column. shadows: typed columns of indexed fields, whose predicates reach the Parquet scan, as
+    those on ids do."""
     spec = json.loads(spec) if isinstance(spec, str) else spec or {}
     if unknown := set(spec) - {"must", "must_not", "should", "min_should"}:
         raise FilterError(f"a filter has no {sorted(unknown)}")
@@ -37,7 +40,7 @@ def compile_filter(spec: dict[str, Any] | str | None, payload: Column, point_id:
     if least := spec.get("min_should"):
         held = [one(c).cast("int") for c in least["conditions"]]
         every.append(reduce(lambda a, b: a + b, held, F.lit(0)) >= least["min_count"])
-    every = [p for c in spec.get("must") or () if (p := _on_shadow(c, shadows or {})) is not None] + every
+    every = [p for c in spec.get("must") or () if (p := _on_shadow(c, shadows or {}, point_id)) is not None] + every
     return reduce(lambda a, b: a & b, every) if every else F.lit(True)
 
 
@@ -135,14 +138,23 @@ KINDS: dict[str, Callable[[Field, dict, Column | None], Column]] = {
 }
 
 
-def _on_shadow(spec: dict[str, Any], shadows: dict[str, Column]) -> Column | None:
-    """What a must condition says about a typed column: true wherever the condition is, so it only narrows the scan."""
+def _on_shadow(spec: dict[str, Any], shadows: dict[str, Shadow], point_id: Column | None) -> Column | None:
+    """What a must condition says about a typed column or the id: true wherever the condition is, so it only narrows the scan."""
     name, condition = spec.get("field"), spec.get("condition")
-    if name not in shadows or not isinstance(condition, dict):
+    if not isinstance(condition, dict):
         return None
     kind, arg = next(iter(condition.items()))
-    if kind == "Range":
-        return _bounds(shadows[name], arg)
+    if kind == "HasId" and point_id is not None:
+        return point_id.isin([normalise_id(x) for x in arg["ids"]])
+    if name not in shadows:
+        return None
+    numeric, value, many = shadows[name]
+    if numeric:
+        return _bounds(value, arg) if kind == "Range" else None
+    if kind == "Match":
+        return (value == str(arg["value"])) | many
+    if kind == "MatchAny" and arg["values"] and all(isinstance(v, (bool, int, float, str)) for v in arg["values"]):
+        return value.isin([v if isinstance(v, str) else canonical(v) for v in arg["values"]]) | many
     return None
 
 

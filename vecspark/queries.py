@@ -414,8 +414,7 @@ def numeric_index_range(spark, sf_dir):
     """The range over the typed column of a payload index, by which the files are sorted."""
     engine = collection(spark, sf_dir)
     engine.create_payload_index("c", "price", "float")
-    store = engine._store("c")
-    return S.filtered(store.points(wide=True), {"must": [where.range("price", gte=30, lte=90)]}, store.shadows()).select("id")
+    return engine.points_by_filter("c", {"must": [where.range("price", gte=30, lte=90)]}).select("id")
 
 
 # Inverted lists and codes. Centroids and codebooks that SQL has to know are vectors of the table themselves.

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tempfile
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
+from vecspark.types import InvalidConfig
+
 
 class Files:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self._jvm = spark.sparkContext._jvm
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self.root = root.rstrip("/")
-        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs = self._path("").getFileSystem(self._conf)
         self._fs.mkdirs(self._path(""))
 
     def _path(self, name: str):
@@ -29,16 +34,15 @@ class Files:
     def folders(self, name: str = "") -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(name)) if s.isDirectory())
 
+    def files(self, name: str = "") -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(name)) if not s.isDirectory())
+
     def size(self, name: str) -> int:
         return self._fs.getContentSummary(self._path(name)).getLength()
 
     def make(self, name: str) -> bool:
         return self._fs.mkdirs(self._path(name))
 
-    def claim(self, name: str) -> bool:
-        """Makes the file; False if someone else has."""
-        return self._fs.createNewFile(self._path(name))
-
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 
@@ -53,21 +57,36 @@ class Files:
             stream.close()
 
     def write_json(self, name: str, value: Any) -> None:
-        """A reader sees the old content or the new."""
-        stream = self._fs.create(self._path(f"{name}.new"), True)
+        stream = self._fs.create(self._path(name), True)
         try:
             stream.write(bytearray(json.dumps(value).encode()))
         finally:
             stream.close()
-        if self._fs.exists(self._path(name)):
-            self._fs.delete(self._path(name), False)
-        self._fs.rename(self._path(f"{name}.new"), self._path(name))
+
+    def create_json(self, name: str, value: Any) -> bool:
+        """Makes the file with its whole content; False if there is one of that name."""
+        draft = f"{name}.{os.urandom(8).hex()}"
+        self.write_json(draft, value)
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri() if "://" in self.root else self._fs.getUri(), self._conf)
+        none = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+        try:
+            context.rename(self._fs.makeQualified(self._path(draft)), self._fs.makeQualified(self._path(name)), none)
+        except Py4JJavaError:
+            self.delete(draft)
+            if self.exists(name):
+                return False
+            raise
+        return True
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared one; in a local session without one, a temporary folder."""
+    """A new folder's path in the cluster's shared one; only a local session without one has a temporary folder instead."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared.rstrip('/')}/{name}-{os.urandom(8).hex()}" if shared else tempfile.mkdtemp(prefix=f"{name}-")
+    if shared:
+        return f"{shared.rstrip('/')}/{name}-{os.urandom(8).hex()}"
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return tempfile.mkdtemp(prefix=f"{name}-")
+    raise InvalidConfig("a cluster has to name a folder that all its machines share in spark.checkpoint.dir")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -1,259 +1,277 @@
-"""A collection on disk: immutable Parquet versions, a log of changes, and a manifest that names both.
+"""A collection as keyed Parquet tables: a base of all points, tables of later changes, and a manifest that names them.
 
-The log is folded into what is read: of each id the last upsert or delete counts, and payload edits after it apply in order.
-Readers keep the version that their manifest named. One writer at a time holds the collection's lock.
+A change holds whole rows, so a point is as its latest change says, or else as the base does: reading is a left-anti join and
+a union. A writer adds the next manifest, which it can only do if no one else has; readers keep the tables that theirs named.
+Changes are merged with others of about their size, and become part of the base when they are a share of it, so what a change
+costs doesn't grow with the collection. The base's index columns are made for the new rows then, so indexes stay.
 """
 
 from __future__ import annotations
 
-import json
 import math
-import time
-from collections.abc import Iterable
-from contextlib import contextmanager
-from typing import Any
+import os
+import re
+from collections.abc import Callable
+from typing import Any, TypeVar
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecspark.functions.payload import Field, canonical
+from vecspark.functions.payload import Field
+from vecspark.plans.filters import Shadow
 from vecspark.sources.files import Files, checkpointed
-from vecspark.types import POINTS, SCHEMA_TAGS, AlreadyExists, CapacityExceeded, CollectionConfig, InvalidConfig, InvalidDimension, InvalidPoint, Misuse, normalise_id
+from vecspark.types import POINTS, SCHEMA_TAGS, AlreadyExists, CapacityExceeded, CollectionConfig, Conflict, InvalidConfig, InvalidDimension, InvalidId, InvalidPayload, NonFinite
 
-LOG = "lsn long, seq long, op string, id string, slot long, vector array<float>, payload string, keys array<string>"
-#: Log files after which they are folded into a new version, and seconds that a writer waits for the lock.
-FOLD_AFTER, WAIT = 16, 30.0
+CHANGES = "lsn long, live boolean, id string, slot long, vector array<float>, payload string"
+#: A share of the base's bytes that changes may have, and bytes that they always may.
+FOLD_SHARE, FOLD_LEAST = 0.25, 64 << 20
+#: Changes of about the same size that are merged into one, and the bytes of the smallest size.
+MERGED, SMALLEST = 8, 1 << 20
+#: Ids of a change by which the base's files are chosen; more are joined.
+FEW = 1000
+#: Rows of an inverted list's file, about.
+FILE_ROWS = 1_000_000
+#: Writers that came first, before one gives up.
+TRIES = 20
+
+#: Tags of payload indexes that hold numbers.
+NUMERIC = ("integer", "float")
+
+R = TypeVar("R")
+Manifest = dict[str, Any]
 
 
 class Store:
     def __init__(self, spark: SparkSession, files: Files, name: str) -> None:
         self.spark, self.files, self.name = spark, files, name
 
-    # Manifest
+    # Manifests
 
     @classmethod
     def create(cls, spark: SparkSession, files: Files, name: str, config: CollectionConfig) -> Store:
         store = cls(spark, files, name)
         files.make(name)
-        spark.createDataFrame([], POINTS).write.parquet(files.at(f"{name}/v=0"))
-        store._save({"version": 0, "lsn": 0, "next_slot": 0, "log": [], "config": config.to_dict(), "payload_indexes": {}, "index": None, "quantization": None, "changed": 0})
+        spark.createDataFrame([], POINTS).write.mode("overwrite").parquet(files.at(f"{name}/v=0"))
+        first = {"number": 0, "base": "v=0", "base_bytes": 0, "lsn": 0, "next_slot": 0, "live": 0, "changes": [], "config": config.to_dict(), "payload_indexes": {}, "shadows": [], "index": None, "quantization": None, "revision": 0, "batches": {}}
+        if not files.create_json(f"{name}/manifest-0.json", first):
+            raise AlreadyExists(f"{name} exists")
         return store
 
-    def manifest(self) -> dict[str, Any]:
-        return self.files.read_json(f"{self.name}/manifest.json")
+    @staticmethod
+    def latest(files: Files, name: str) -> int | None:
+        """The number of the newest manifest."""
+        if not files.exists(name):
+            return None
+        return max((int(m[1]) for f in files.files(name) if (m := re.fullmatch(r"manifest-(\d+)\.json", f))), default=None)
 
-    def _save(self, manifest: dict[str, Any]) -> None:
-        self.files.write_json(f"{self.name}/manifest.json", manifest)
+    def manifest(self) -> Manifest:
+        return self.files.read_json(f"{self.name}/manifest-{self.latest(self.files, self.name)}.json")
+
+    def commit(self, manifest: Manifest) -> bool:
+        """manifest as the next one; False if another writer came first."""
+        manifest = manifest | {"number": manifest["number"] + 1, "revision": manifest["revision"] + 1}
+        return self.files.create_json(f"{self.name}/manifest-{manifest['number']}.json", manifest)
+
+    def change(self, work: Callable[[Manifest], R]) -> R:
+        """What work(manifest) returns, once the manifest that it has changed is the newest; done again if another writer came first."""
+        for _ in range(TRIES):
+            manifest = self.manifest()
+            result = work(manifest)
+            if self.commit(manifest):
+                return result
+        raise Conflict(f"other writers keep changing {self.name}")
 
     @property
     def config(self) -> CollectionConfig:
         return CollectionConfig.from_dict(self.manifest()["config"])
 
-    @contextmanager
-    def writing(self):
-        """The manifest, saved at the end if all went well."""
-        lock, until = f"{self.name}/lock", time.time() + WAIT
-        while not self.files.claim(lock):
-            if time.time() > until:
-                raise Misuse(f"another writer holds {self.name}")
-            time.sleep(0.05)
-        try:
-            manifest = self.manifest()
-            yield manifest
-            self._save(manifest)
-        finally:
-            self.files.delete(lock)
+    def new_folder(self, kind: str) -> str:
+        return f"{kind}-{os.urandom(8).hex()}"
 
     # Reading
 
-    def shadows(self, manifest: dict[str, Any] | None = None) -> dict[str, Column]:
-        """Typed columns of indexed fields, where the newest version has them and no change is waiting."""
-        manifest = manifest or self.manifest()
-        if manifest["log"]:
-            return {}
-        return {f: F.col(f"p_{f}") for f, tag in manifest["payload_indexes"].items() if tag in ("integer", "float")}
+    def base(self, manifest: Manifest) -> DataFrame:
+        return self.spark.read.parquet(self.files.at(f"{self.name}/{manifest['base']}"))
 
-    def base(self, manifest: dict[str, Any]) -> DataFrame:
-        return self.spark.read.parquet(self.files.at(f"{self.name}/v={manifest['version']}"))
+    def changes(self, manifest: Manifest) -> DataFrame | None:
+        """The latest change of each changed id, or None if nothing waits."""
+        if not manifest["changes"]:
+            return None
+        return self._latest([c["folder"] for c in manifest["changes"]])
 
-    def points(self, manifest: dict[str, Any] | None = None, wide: bool = False) -> DataFrame:
-        """Live points (slot, id, vector, payload). wide: with the columns of indexes too, null where the log has the row."""
+    def _latest(self, folders: list[str]) -> DataFrame:
+        rows = self.spark.read.schema(CHANGES).parquet(*[self.files.at(f"{self.name}/{f}") for f in folders])
+        return rows.groupBy("id").agg(F.max_by(F.struct("lsn", "live", "slot", "vector", "payload"), "lsn").alias("_c")).select("id", "_c.*")
+
+    def settled(self, manifest: Manifest) -> DataFrame:
+        """The base's points that no change has touched, with the columns of indexes."""
+        changed = self.changes(manifest)
+        return self.base(manifest) if changed is None else self.base(manifest).join(changed.select("id"), "id", "left_anti")
+
+    def pending(self, manifest: Manifest) -> DataFrame | None:
+        """The changed points that live (slot, id, vector, payload), or None."""
+        changed = self.changes(manifest)
+        return None if changed is None else changed.where("live").select("slot", "id", "vector", "payload")
+
+    def points(self, manifest: Manifest | None = None) -> DataFrame:
+        """Live points: slot, id, vector, payload."""
         manifest = manifest or self.manifest()
-        base = self.base(manifest)
-        base = base if wide else base.select("slot", "id", "vector", "payload")
-        if not manifest["log"]:
-            return base
-        changed = self._folded(base, manifest)
-        kept = base.join(changed.select("id"), "id", "left_anti")
-        return kept.unionByName(changed.where("op = 'upsert'").select("slot", "id", "vector", "payload"), allowMissingColumns=True)
-
-    def changes(self, manifest: dict[str, Any]) -> int:
-        """Rows in the log."""
-        return self.spark.read.schema(LOG).parquet(*[self.files.at(f"{self.name}/{d}") for d in manifest["log"]]).count() if manifest["log"] else 0
-
-    def _folded(self, base: DataFrame, manifest: dict[str, Any]) -> DataFrame:
-        """A row for each id in the log: op delete, or upsert with the point as it now is."""
-        log = self.spark.read.schema(LOG).parquet(*[self.files.at(f"{self.name}/{d}") for d in manifest["log"]])
-        touched = log.select("id").distinct()
-        old = base.join(touched, "id", "left_semi").select(F.lit(-1).cast("long").alias("lsn"), F.lit(0).cast("long").alias("seq"), F.lit("upsert").alias("op"), "id", "slot", "vector", "payload", F.lit(None).cast("array<string>").alias("keys"))
-        every = old.unionByName(log)
-        by_time = Window.partitionBy("id").orderBy("lsn", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        run = every.withColumn("_run", F.sum(F.col("op").isin("upsert", "delete").cast("int")).over(by_time))
-        edit = F.struct("lsn", "seq", "op", "payload", "keys")
-        runs = run.groupBy("id", "_run").agg(F.max_by("op", -F.col("lsn") * (1 << 32) - F.col("seq")).alias("op"), F.min_by("slot", F.struct("lsn", "seq")).alias("slot"), F.min_by("vector", F.struct("lsn", "seq")).alias("vector"), F.sort_array(F.collect_list(edit)).alias("edits"))
-        last = runs.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("_run")))).where("_n = 1")
-        return last.select("id", "op", "slot", "vector", F.when(F.size("edits") == 1, F.col("edits")[0].payload).otherwise(_edited(F.col("edits"))).alias("payload"))
+        settled, pending = self.settled(manifest).select("slot", "id", "vector", "payload"), self.pending(manifest)
+        return settled if pending is None else settled.unionByName(pending)
+
+    def with_ids(self, manifest: Manifest, ids: list[str]) -> DataFrame:
+        """The live points of a few ids; row groups that can't have them aren't read."""
+        settled = self.base(manifest).where(F.col("id").isin(ids)).select("slot", "id", "vector", "payload")
+        if not manifest["changes"]:
+            return settled
+        changed = checkpointed(self.changes(manifest).where(F.col("id").isin(ids)))
+        return settled.join(F.broadcast(changed.select("id")), "id", "left_anti").unionByName(changed.where("live").select("slot", "id", "vector", "payload"))  # as many as ids
+
+    def shadows(self, manifest: Manifest) -> dict[str, Shadow]:
+        """The base's columns of indexed fields."""
+        known = {f: manifest["payload_indexes"][f] for f in manifest["shadows"] if f in manifest["payload_indexes"]}
+        return {f: (tag in NUMERIC, F.col(f"`p_{f}`"), F.lit(False) if tag in NUMERIC else F.col(f"`m_{f}`").isNotNull()) for f, tag in known.items() if tag != "geo"}
 
     # Writing
 
-    def _append(self, manifest: dict[str, Any], rows: DataFrame) -> None:
-        """rows: op, id, seq and what of slot, vector, payload and keys the op has."""
-        lsn = manifest["lsn"] + 1
-        for name, kind in (("slot", "long"), ("vector", "array<float>"), ("payload", "string"), ("keys", "array<string>")):
-            if name not in rows.columns:
-                rows = rows.withColumn(name, F.lit(None).cast(kind))
-        rows.select(F.lit(lsn).cast("long").alias("lsn"), F.col("seq").cast("long").alias("seq"), "op", "id", F.col("slot").cast("long").alias("slot"), "vector", "payload", "keys").write.mode("overwrite").parquet(self.files.at(f"{self.name}/log-{lsn}"))
-        manifest["lsn"] = lsn
-        manifest["log"] = [*manifest["log"], f"log-{lsn}"]
-        manifest["changed"] += 1
-        if len(manifest["log"]) > FOLD_AFTER:
-            self.fold(manifest)
-
-    def upsert(self, points: DataFrame) -> int:
-        """points: id, vector, payload (JSON text or null), and maybe seq; of equal ids the one of the largest seq counts.
-
-        All points are checked before any is written. A known id keeps its slot; new ones get slots in the order in which they first come.
+    def prepare(self, manifest: Manifest, rows: DataFrame) -> tuple[int, int]:
+        """Adds rows to manifest as one change; returns how many points are new and how many are gone.
+
+        rows: id, vector, payload (JSON text or null), seq, and live and renew, both boolean. Of equal ids the row of the largest
+        seq counts; one that isn't live takes the point away. A known id keeps its slot unless renew says that it was taken away
+        before; new ones get slots in the order in which they first come. All rows are checked before any counts, and rows is
+        read once for what is written.
         """
-        with self.writing() as manifest:
-            config = CollectionConfig.from_dict(manifest["config"])
-            if "seq" not in points.columns:
-                points = points.withColumn("seq", F.monotonically_increasing_id())
-            points = points.select(F.col("id").cast("string").alias("id"), F.col("vector").cast("array<float>").alias("vector"), F.col("payload").cast("string").alias("payload"), "seq")
-            first = F.min("seq").over(Window.partitionBy("id"))
-            last = points.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("seq")))).withColumn("seq", first).where("_n = 1").drop("_n")
-            bad = F.coalesce(F.size("vector") != config.dim, F.lit(True))
-            infinite = F.exists("vector", lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(True)))
-            checks = points.agg(F.count(F.when(bad, 1)).alias("dim"), F.count(F.when(infinite, 1)).alias("infinite"), F.count(F.when(F.col("payload").isNotNull() & F.coalesce(F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT") == F.lit(False), F.lit(True)), 1)).alias("payload"), F.count(F.when(F.col("id").isNull(), 1)).alias("id")).first()
-            if checks.dim:
-                raise InvalidDimension(f"{checks.dim} vectors don't have {config.dim} elements")
-            if checks.infinite or checks.payload or checks.id:
-                raise InvalidPoint("every point needs an id, finite elements, and a JSON object or nothing as its payload")
-            known = self.points(manifest).select("id", "slot")
-            joined = last.join(known, "id", "left")
-            new = joined.where("slot IS NULL")
-            count = new.count()
-            if config.max_points is not None and self.points(manifest).count() + count > config.max_points:
-                raise CapacityExceeded(f"{self.name} holds {config.max_points} points at most")
-            numbered = _number_in_order(new, manifest["next_slot"])
-            manifest["next_slot"] += count
-            self._append(manifest, joined.where("slot IS NOT NULL").unionByName(numbered).withColumn("op", F.lit("upsert")))
-            return count
-
-    def delete(self, ids: DataFrame) -> None:
-        """ids: one column id. Ids that aren't there change nothing."""
-        with self.writing() as manifest:
-            self._append(manifest, ids.select("id").distinct().join(self.points(manifest).select("id"), "id", "left_semi").select("id", F.lit(0).alias("seq"), F.lit("delete").alias("op")))
-
-    def edit(self, op: str, point_id: str, payload: dict[str, Any] | None = None, keys: Iterable[str] = ()) -> None:
-        """op: set_payload, merge or delete_keys, on a point that has to be there."""
-        point_id = normalise_id(point_id)
-        with self.writing() as manifest:
-            if self.points(manifest).where(F.col("id") == point_id).isEmpty():
-                raise InvalidPoint(f"{self.name} has no point {point_id}")
-            row = [(point_id, 0, op, canonical(payload) if payload is not None else None, list(keys))]
-            self._append(manifest, self.spark.createDataFrame(row, "id string, seq long, op string, payload string, keys array<string>"))
-
-    # Versions
-
-    def write_version(self, manifest: dict[str, Any], points: DataFrame, partition_by: str | None = None) -> None:
-        """points as the next version, sorted by slot, with the columns of declared payload indexes; the log is empty then."""
-        version = manifest["version"] + 1
+        config = CollectionConfig.from_dict(manifest["config"])
+        rows = rows.select(F.col("id").cast("string").alias("id"), F.col("vector").cast("array<float>").alias("vector"), F.col("payload").cast("string").alias("payload"), F.col("seq").cast("long").alias("seq"), "live", "renew")
+        flag = lambda bad: F.max(F.coalesce(F.col("live") & bad, F.lit(True)).cast("int"))
+        infinite = F.exists("vector", lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(True)))
+        odd = F.col("payload").isNotNull() & ~F.coalesce(F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT"), F.lit(False))
+        checks = {"dim": F.size("vector") != config.dim, "infinite": F.col("vector").isNotNull() & infinite, "odd": odd}
+        one = rows.groupBy("id").agg(F.min("seq").alias("first"), F.max_by(F.struct("vector", "payload", "live", "renew"), "seq").alias("_r"), *(flag(v).alias(f"_{k}") for k, v in checks.items())).select("id", "first", "_r.*", *(f"_{k}" for k in checks))
+        one = checkpointed(one)
+        found = one.agg(F.count("*").alias("n"), F.count(F.when(F.col("id").isNull(), 1)).alias("ids"), *(F.coalesce(F.sum(f"_{k}"), F.lit(0)).alias(k) for k in checks)).first()
+        if found.ids:
+            raise InvalidId(f"{found.ids} points have no id")
+        if found.dim:
+            raise InvalidDimension(f"vectors of {found.dim} points don't have {config.dim} elements")
+        if found.infinite:
+            raise NonFinite(f"{found.infinite} points have elements that aren't finite")
+        if found.odd:
+            raise InvalidPayload(f"payloads of {found.odd} points aren't JSON objects")
+        if not found.n:
+            return 0, 0
+        known = self.with_ids(manifest, [r.id for r in one.select("id").collect()]) if found.n <= FEW else self.points(manifest)
+        joined = one.drop(*(f"_{k}" for k in checks)).join(known.select("id", F.col("slot").alias("old")), "id", "left").where("live OR old IS NOT NULL")
+        ranged = checkpointed(joined.withColumn("slot", F.when(~F.coalesce("renew", F.lit(False)), F.col("old"))).repartitionByRange("first", "id").withColumn("_part", F.spark_partition_id()))
+        fresh = F.col("live") & F.col("slot").isNull()
+        sizes = ranged.groupBy("_part").agg(F.count(F.when(fresh, 1)).alias("fresh"), F.count(F.when(F.col("live") & F.col("old").isNull(), 1)).alias("more"), F.count(F.when(~F.col("live"), 1)).alias("gone"), F.count("*").alias("n")).orderBy("_part").collect()
+        more, gone, n = (sum(r[k] for r in sizes) for k in ("more", "gone", "n"))
+        if config.max_points is not None and more > gone and manifest["live"] + more - gone > config.max_points:
+            raise CapacityExceeded(f"{self.name} holds {config.max_points} points at most, not {manifest['live'] + more - gone}")
+        if not n:
+            return 0, 0
+        begin, at = [], manifest["next_slot"]
+        for r in sizes:
+            begin.append((r["_part"], at))
+            at += r.fresh
+        before = self.spark.createDataFrame(begin, "_part int, _begin long")
+        running = F.sum(fresh.cast("long")).over(Window.partitionBy("_part").orderBy("first", "id"))
+        numbered = ranged.withColumn("_n", running).join(F.broadcast(before), "_part").withColumn("slot", F.when(fresh, F.col("_begin") + F.col("_n") - 1).otherwise(F.coalesce("slot", "old")))  # a row for each partition
+        lsn, folder = manifest["lsn"] + 1, self.new_folder("changes")
+        when_live = lambda c: F.when(F.col("live"), F.col(c)).alias(c)
+        numbered.select(F.lit(lsn).cast("long").alias("lsn"), "live", "id", "slot", when_live("vector"), when_live("payload")).write.parquet(self.files.at(f"{self.name}/{folder}"))
+        manifest |= {"lsn": lsn, "next_slot": at, "live": manifest["live"] + more - gone, "changes": [*manifest["changes"], self._told(folder, n)]}
+        self._merge_changes(manifest)
+        return more, gone
+
+    def _told(self, folder: str, rows: int) -> dict[str, Any]:
+        return {"folder": folder, "rows": rows, "bytes": self.files.size(f"{self.name}/{folder}")}
+
+    def _merge_changes(self, manifest: Manifest) -> None:
+        """The newest MERGED changes become one as long as they are of about the same size."""
+        size = lambda c: int(math.log(max(c["bytes"], SMALLEST) / SMALLEST, MERGED))
+        while len(last := manifest["changes"][-MERGED:]) == MERGED and len(set(map(size, last))) == 1:
+            folder = self.new_folder("changes")
+            merged = self._latest([c["folder"] for c in last])
+            merged.select(*(c.split()[0] for c in CHANGES.split(", "))).write.parquet(self.files.at(f"{self.name}/{folder}"))
+            rows = self.spark.read.parquet(self.files.at(f"{self.name}/{folder}")).count()
+            manifest["changes"] = [*manifest["changes"][:-MERGED], self._told(folder, rows)]
+
+    def due(self, manifest: Manifest) -> bool:
+        """Whether changes have grown to their share of the base."""
+        return sum(c["bytes"] for c in manifest["changes"]) > max(FOLD_LEAST, FOLD_SHARE * manifest["base_bytes"])
+
+    def write_base(self, manifest: Manifest, points: DataFrame, by_list: bool = False) -> None:
+        """points as the new base, with the columns of declared payload indexes, sorted by the first of them; no change waits then."""
+        folder = self.new_folder("v")
+        for name, tag in manifest["payload_indexes"].items():
+            points = points.withColumns(shadow(F.col("payload"), name, tag))
+        points = points.drop(*(f"{c}_{n}" for n in manifest["shadows"] if n not in manifest["payload_indexes"] for c in "pm"))
+        if by_list:
+            points = checkpointed(points)
+            sizes = points.groupBy("list_id").count().select("list_id", F.ceil(F.col("count") / FILE_ROWS).alias("_files"))
+            points = points.join(F.broadcast(sizes), "list_id")  # a row for each list
+            points = points.repartition("list_id", F.pmod(F.xxhash64("slot"), "_files")).drop("_files")
+        lead = [f"`p_{n}`" for n, tag in manifest["payload_indexes"].items() if tag != "geo"][:1]
+        writer = points.sortWithinPartitions(*lead, "slot").write.option("parquet.bloom.filter.enabled#id", "true")
         for name, tag in manifest["payload_indexes"].items():
-            points = points.withColumn(f"p_{name}", shadow(F.col("payload"), name, tag))
-        lead = [f"p_{n}" for n, tag in manifest["payload_indexes"].items() if tag in ("integer", "float", "keyword")][:1]
-        writer = points.sortWithinPartitions(*lead, "slot").write.mode("overwrite")
-        for name in manifest["payload_indexes"]:
-            writer = writer.option(f"parquet.bloom.filter.enabled#p_{name}", "true")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.files.at(f"{self.name}/v={version}"))
-        manifest |= {"version": version, "log": [], "changed": manifest["changed"] + 1}
-
-    def fold(self, manifest: dict[str, Any]) -> None:
-        """The log into a new version. Indexes of the old one are dropped; slots stay."""
-        manifest["index"] = manifest["quantization"] = None
-        self.write_version(manifest, self.points(manifest))
-
-    def compact(self) -> int:
-        """Slots without gaps, in the old order; returns how many points there are."""
-        with self.writing() as manifest:
-            manifest["index"] = manifest["quantization"] = None
-            live = self.points(manifest)
-            dense = _number_in_order(live.withColumnRenamed("slot", "seq"), 0).drop("seq").select("slot", "id", "vector", "payload")
-            self.write_version(manifest, dense)
-            manifest["next_slot"] = self.base(manifest).count()
-            return manifest["next_slot"]
-
-    def vacuum(self) -> None:
-        """Deletes versions and log files that the manifest doesn't name."""
-        manifest = self.manifest()
+            if tag == "keyword":
+                writer = writer.option(f"parquet.bloom.filter.enabled#p_{name}", "true")
+        (writer.partitionBy("list_id") if by_list else writer).parquet(self.files.at(f"{self.name}/{folder}"))
+        manifest |= {"base": folder, "base_bytes": self.files.size(f"{self.name}/{folder}"), "changes": [], "shadows": list(manifest["payload_indexes"])}
+
+    def vacuum(self) -> list[str]:
+        """Deletes tables that neither the newest manifest nor the one before it names, and older manifests."""
+        newest = self.latest(self.files, self.name)
+        kept, gone = set(), []
+        for n in (newest, newest - 1):
+            if n >= 0 and self.files.exists(f"{self.name}/manifest-{n}.json"):
+                told = self.files.read_json(f"{self.name}/manifest-{n}.json")
+                kept |= {told["base"], *(c["folder"] for c in told["changes"]), *(told["index"] or {}).get("folders", ())}
         for folder in self.files.folders(self.name):
-            if folder != f"v={manifest['version']}" and folder not in manifest["log"]:
+            if folder not in kept:
                 self.files.delete(f"{self.name}/{folder}")
+                gone.append(folder)
+        for f in self.files.files(self.name):
+            if (m := re.fullmatch(r"manifest-(\d+)\.json", f)) and int(m[1]) < newest - 1:
+                self.files.delete(f"{self.name}/{f}")
+        return gone
 
     # Payload indexes
 
-    def create_payload_index(self, field: str, tag: str) -> None:
+    @staticmethod
+    def check_index(manifest: Manifest, field: str, tag: str) -> str:
         tag = tag.strip().lower()
         if field == "_id" or tag not in SCHEMA_TAGS:
             raise InvalidConfig(f"{field} can't be indexed as {tag}")
-        with self.writing() as manifest:
-            if field in manifest["payload_indexes"]:
-                raise AlreadyExists(f"{field} has an index")
-            manifest["payload_indexes"][field] = tag
-            self.fold(manifest)
-
-    def delete_payload_index(self, field: str) -> bool:
-        with self.writing() as manifest:
-            return manifest["payload_indexes"].pop(field, None) is not None
+        if field in manifest["payload_indexes"]:
+            raise AlreadyExists(f"{field} has an index")
+        return tag
 
 
-def shadow(payload: Column, name: str, tag: str) -> Column:
-    """The typed column of an indexed field: null where the field has another type, so it narrows only what it can tell."""
+def shadow(payload: Column, name: str, tag: str) -> dict[str, Column]:
+    """The columns of an indexed field: a number, or a value's text and whether it is an array instead. Null where the field has
+    another type, so they narrow only what they can tell."""
     field = Field(payload, name)
-    if tag in ("integer", "float"):
-        return field.as_double()
-    return F.when(field.tag.isin("STRING", "BOOLEAN") | field.is_number(), field.token)
-
-
-def _apply(start: str | None, edits: list) -> str | None:
-    """The payload after its edits, in order; the first is the upsert itself."""
-    now = json.loads(start) if start is not None else None
-    for e in edits[1:]:
-        if e["op"] == "set_payload":
-            now = json.loads(e["payload"])
-        elif e["op"] == "merge":
-            now = {**(now or {}), **json.loads(e["payload"])} if json.loads(e["payload"]) else now
-        elif e["op"] == "delete_keys" and now is not None:
-            now = {k: v for k, v in now.items() if k not in set(e["keys"])}
-    return None if now is None else canonical(now)
-
-
-def _edited(edits: Column) -> Column:
-    @F.pandas_udf("string")
-    def apply(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda own: _apply(own[0]["payload"], list(own)))
-
-    return apply(edits)
-
-
-def _number_in_order(rows: DataFrame, start: int) -> DataFrame:
-    """rows with slot: start, start + 1 ... in the order of seq. Ranges are numbered by themselves, after a count of each."""
-    ranged = checkpointed(rows.drop("slot").repartitionByRange("seq", "id").withColumn("_part", F.spark_partition_id()))
-    ordered = Window.partitionBy("_part").orderBy("seq", "id")
-    numbered = ranged.withColumn("_n", F.row_number().over(ordered))
-    sizes = ranged.groupBy("_part").count()
-    before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    return numbered.join(F.broadcast(before), "_part").withColumn("slot", start + F.col("_before") + F.col("_n") - 1).drop("_part", "_n", "_before")
+    if tag in NUMERIC:
+        return {f"p_{name}": field.as_double()}
+    if tag == "geo":
+        return {}
+    scalar = field.tag.isin("STRING", "BOOLEAN") | field.is_number()
+    return {f"p_{name}": F.when(scalar, field.token), f"m_{name}": F.when(field.is_array(), True)}
+
+
+def number_in_order(rows: DataFrame, start: int) -> DataFrame:
+    """rows with slot: start, start + 1 ... in the order of slot. Ranges are numbered by themselves, after a count of each."""
+    ranged = checkpointed(rows.repartitionByRange("slot").withColumn("_part", F.spark_partition_id()))
+    begin, at = [], start
+    for r in ranged.groupBy("_part").count().orderBy("_part").collect():
+        begin.append((r["_part"], at))
+        at += r["count"]
+    before = rows.sparkSession.createDataFrame(begin, "_part int, _begin long")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("slot"))
+    return ranged.withColumn("_n", place).join(F.broadcast(before), "_part").withColumn("slot", F.col("_begin") + F.col("_n") - 1).drop("_part", "_n", "_begin")
 
 
 def estimate(dim: int, live: int, index: bool) -> int:

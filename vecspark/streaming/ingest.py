@@ -11,11 +11,12 @@ from vecspark.operators.search import batch_search
 
 
 def upsert_stream(engine: Engine, name: str, stream: DataFrame, checkpoint: str, point_id: str = "id", vector: str = "vector", payload: str | None = "payload") -> DataStreamWriter:
-    """Each micro-batch of stream is one upsert. One that comes again after a failure writes the same points once more."""
+    """Each micro-batch of stream is one upsert, which the collection keeps by the checkpoint's path and the batch's number: one
+    that comes again after a failure changes nothing."""
 
-    def write(batch: DataFrame, _epoch: int) -> None:
+    def write(batch: DataFrame, epoch: int) -> None:
         if not batch.isEmpty():
-            engine.upsert_dataframe(name, batch, point_id, vector, payload)
+            engine.upsert_dataframe(name, batch, point_id, vector, payload, (checkpoint, epoch))
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
 

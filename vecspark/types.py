@@ -21,6 +21,8 @@ POINTS = T.StructType([
 
 
 class VectorError(Exception):
+    """Every error that this library raises by itself; code tells the kinds apart."""
+
     code = 1
 
 
@@ -41,6 +43,8 @@ class InvalidDimension(VectorError):
 
 
 class InvalidPoint(VectorError):
+    """A point that can't be stored; the next four say why."""
+
     code = 6
 
 
@@ -56,12 +60,59 @@ class Misuse(VectorError):
     code = 9
 
 
+class InvalidId(InvalidPoint):
+    code = 10
+
+
+class NonFinite(InvalidPoint):
+    code = 11
+
+
+class InvalidPayload(InvalidPoint):
+    code = 12
+
+
+class UnknownPoint(InvalidPoint):
+    code = 13
+
+
+class InvalidName(InvalidConfig):
+    code = 14
+
+
+class UnsupportedMetric(InvalidConfig):
+    code = 15
+
+
+class Incomplete(NotFound):
+    """A collection's folder without a table or manifest that it should have."""
+
+    code = 16
+
+
+class CorruptData(VectorError):
+    """A manifest or snapshot that can't be read."""
+
+    code = 17
+
+
+class Conflict(VectorError):
+    """Other writers came first, each time."""
+
+    code = 18
+
+
+MOST_ID = str((1 << 64) - 1)
+
+
 def normalise_id(value: Any) -> str:
     """The canonical text of an id: a number below 2^64, however it is written, or the text itself."""
     text = str(value)
     digits = text[1:] if text[:1] == "+" else text
-    if digits.isascii() and digits.isdigit() and int(digits) < 1 << 64:
-        return str(int(digits))
+    if digits.isascii() and digits.isdigit():
+        short = digits.lstrip("0") or "0"
+        if (len(short), short) <= (len(MOST_ID), MOST_ID):
+            return short
     return text
 
 
@@ -69,7 +120,7 @@ def check_vector(vector: Sequence[float], dim: int) -> list[float]:
     if len(vector) != dim:
         raise InvalidDimension(f"the vector has {len(vector)} elements, the collection {dim}")
     if not all(math.isfinite(x) for x in vector):
-        raise InvalidPoint("every element of a vector has to be finite")
+        raise NonFinite("every element of a vector has to be finite")
     return [float(x) for x in vector]
 
 
@@ -142,8 +193,10 @@ class CollectionConfig:
     compaction_ratio: float = 0.20
 
     def validate(self) -> None:
-        if self.dim < 1 or self.metric not in METRICS or self.index not in ("Flat", "Hnsw", "Ivf"):
-            raise InvalidConfig("dim must be at least 1, metric and index must be known ones")
+        if self.metric not in METRICS:
+            raise UnsupportedMetric(f"there is no metric {self.metric}")
+        if self.dim < 1 or self.index not in ("Flat", "Hnsw", "Ivf"):
+            raise InvalidConfig("dim must be at least 1, and index a known one")
         if self.max_points is not None and self.max_points < 1:
             raise InvalidConfig("max_points must be at least 1")
         self.hnsw.validate()
@@ -198,6 +251,11 @@ class SearchQuery:
         floors = [t for t in (self.score_threshold, self.radius) if t is not None]
         return max(floors) if floors else None
 
+    @property
+    def wide(self) -> list[str]:
+        """Columns of a point that are asked for."""
+        return ["payload"] * self.with_payload + ["vector"] * self.with_vector
+
     @classmethod
     def from_dict(cls, d: dict[str, Any]) -> SearchQuery:
         try:
