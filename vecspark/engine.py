@@ -19,7 +19,7 @@ from vecspark.functions import distance as D
 from vecspark.functions.payload import canonical, canonical_id, edited
 from vecspark.operators import graph, ivf
 from vecspark.operators import quantization as quant
-from vecspark.operators.search import filtered, projected, rank_scored
+from vecspark.operators.search import batch_search, filtered, projected, rank_scored, top_of_each
 from vecspark.plans.filters import compile_filter
 from vecspark.sources.files import Files
 from vecspark.sources.store import Manifest, Store, estimate, number_in_order
@@ -340,6 +340,34 @@ class Engine:
                 return self._search_exact(store, manifest, config, query)
             return self._answer(store, manifest, query, found)
 
+    def search_batch(self, name: str, queries: DataFrame, k: int = 10, nprobe: int | None = None, ef_search: int | None = None, oversampling: float | None = None, exact: bool = False) -> DataFrame:
+        """queries: qid long, vector. Returns qid, id, slot, score, rank of the k best points for each query, by the
+        collection's index or codes, and of the changes that wait."""
+        store = self._store(name)
+        manifest = store.manifest()
+        config = CollectionConfig.from_dict(manifest["config"])
+        kind, settled, pending = (manifest["index"] or {}).get("kind"), store.settled(manifest), store.pending(manifest)
+        if exact or not kind and not manifest["quantization"]:
+            return batch_search(store.points(manifest), queries, k, config.metric)
+        if kind == "Ivf":
+            found = ivf.batch_probe(settled, queries, np.array(manifest["index"]["centroids"]), nprobe or config.ivf.default_nprobe, k, config.metric)
+        elif kind == "Hnsw":
+            graphs = self.spark.read.parquet(store.files.at(f"{name}/{manifest['index']['folders'][0]}"))
+            found = graph.batch_search(graphs, queries, config.metric, config.hnsw, max(ef_search or config.hnsw.ef_search, k))
+            if pending is not None:
+                found = found.join(settled.select("slot"), "slot", "left_semi").select("qid", "slot", "id", "score")
+        else:
+            q = manifest["quantization"]
+            width = quant.coarse_width(q["kind"], k, manifest["live"], oversampling)
+            signs = q["kind"] == "binary"  # the nearest signs of two vectors of signs are those that differ least
+            asked = queries.select("qid", F.transform("vector", lambda x: F.when(x > 0, 1.0).otherwise(-1.0)).alias("vector")) if signs else queries
+            coarse = batch_search(quant.decoded(settled, q | {"dim": config.dim}), asked, width, "Dot" if signs else config.metric).select("qid", "slot")
+            near = coarse.join(settled.select("slot", "id", "vector"), "slot").join(queries.select("qid", F.col("vector").alias("_q")), "qid")
+            found = near.select("qid", "slot", "id", D.score(config.metric, F.col("vector"), F.col("_q")).alias("score"))
+        if pending is not None:
+            found = found.unionByName(batch_search(pending, queries, k, config.metric).drop("rank"))
+        return top_of_each(found, k).select("qid", "id", "slot", "score", "rank")
+
     def search_vector(self, name: str, vector: list[float], limit: int = 10, spec: dict[str, Any] | None = None, threshold: float = -1.0) -> DataFrame:
         """A negative threshold asks for none."""
         return self.search(name, SearchQuery(vector, limit=limit, filter=spec, score_threshold=threshold if threshold >= 0 else None))

@@ -13,10 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.functions.distance import scores
+from vecspark.operators.search import in_blocks
 from vecspark.types import HnswConfig
 
 #: Points of a shard, about.
@@ -122,18 +124,30 @@ def build(points: DataFrame, metric: str, config: HnswConfig, shard: int = SHARD
     return dealt.groupBy("shard").applyInPandas(one, "shard int, graph binary, slots array<long>, ids array<string>")
 
 
+def batch_search(graphs: DataFrame, queries: DataFrame, metric: str, config: HnswConfig, width: int) -> DataFrame:
+    """queries: qid long, vector. (qid, slot, id, score) of up to `width` near points of each shard for each query. A shard is
+    loaded once for a block of queries, which go out as in the exact batch search."""
+
+    def near(qids: np.ndarray, vectors: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    links, entry, stored = pickle.loads(batch.column(2)[i].as_py())
+                    graph = Graph(stored, metric, config)
+                    graph.links, graph.entry = links, entry
+                    slots, ids = batch.column(0)[i].values, batch.column(1)[i].values
+                    found = [(q, n, -far) for q, v in zip(qids.tolist(), vectors, strict=True) for far, n in graph.search(v, width)]
+                    at = pa.array([n for _, n, _ in found], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([q for q, *_ in found], pa.int64()), slots.take(at), ids.take(at), pa.array([s for *_, s in found], pa.float64())], ["qid", "slot", "id", "score"])
+
+        return run
+
+    shards = graphs.select(F.col("slots").alias("slot"), F.col("ids").alias("id"), F.col("graph").alias("vector"))
+    return in_blocks(shards, queries, None, near)
+
+
 def search(graphs: DataFrame, query: list[float], metric: str, config: HnswConfig, width: int, allowed: DataFrame | None = None) -> DataFrame:
     """(slot, id, score) of up to `width` near points of each shard. allowed: the slots that may be in the result."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = np.array(query, np.float64)
-        for batch in batches:
-            for row in batch.itertuples():
-                links, entry, vectors = pickle.loads(row.graph)
-                graph = Graph(vectors, metric, config)
-                graph.links, graph.entry = links, entry
-                found = graph.search(q, width)
-                yield pd.DataFrame({"slot": [int(row.slots[n]) for _, n in found], "id": [row.ids[n] for _, n in found], "score": [-d for d, _ in found]}, columns=["slot", "id", "score"])
-
-    found = graphs.mapInPandas(run, "slot long, id string, score double")
+    asked = graphs.sparkSession.createDataFrame([(0, [float(x) for x in query])], "qid long, vector array<double>")
+    found = batch_search(graphs, asked, metric, config, width).drop("qid")
     return found if allowed is None else found.join(allowed.select("slot"), "slot", "left_semi")

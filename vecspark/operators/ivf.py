@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.operators.quantization import kmeans, nearest, sample_vectors
+from vecspark.operators.search import best_of, in_blocks
 from vecspark.types import IvfConfig
 
 
@@ -54,6 +55,30 @@ def probe(assigned: DataFrame, order: list[int], nprobe: int) -> DataFrame:
     return assigned.where(F.col("list_id").isin(order[:nprobe]))
 
 
+def batch_probe(assigned: DataFrame, queries: DataFrame, centroids: np.ndarray, nprobe: int, k: int, metric: str) -> DataFrame:
+    """queries: qid long, vector. (qid, slot, id, score) of the k best points of each query in the lists nearest to it.
+
+    A task scores the points of a list against the queries that probe it. Queries go out in blocks as in batch_search().
+    """
+
+    def near(qids: np.ndarray, vectors: np.ndarray):
+        far = ((_shaped(vectors, metric)[:, None] - centroids[None]) ** 2).sum(2) if len(qids) else np.empty((0, len(centroids)))
+        asks = np.zeros(far.shape, bool)
+        np.put_along_axis(asks, np.argsort(far, axis=1, kind="stable")[:, :nprobe], True, axis=1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column(3).to_numpy()
+                for i in np.unique(lists).tolist():
+                    some, asking = batch.filter(pa.array(lists == i)), np.flatnonzero(asks[:, i])
+                    if len(asking):
+                        yield from best_of(qids[asking], vectors[asking], k, metric, None)(iter([some]))
+
+        return run
+
+    return in_blocks(assigned, queries, None, near, "list_id")
+
+
 def drift(assigned: DataFrame, baseline: float) -> float:
     """How much farther from their centroids points are than they were: 0 if not at all."""
     mean = assigned.agg(F.avg("list_distance")).first()[0]

@@ -7,29 +7,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.functions import distance as D
 from vecspark.operators.search import rank_scored
+from vecspark.sources.files import checkpointed
 
-#: Values and vectors that training looks at, at most.
-MOST_VALUES, MOST_VECTORS = 4_000_000, 10_000
+#: Vectors that codebooks are trained on, about, and rows that are held against all centres together.
+MOST_VECTORS, ROWS = 10_000, 4096
 OVERSAMPLE = {"scalar": 2.0, "binary": 4.0, "product": 3.0}
 
 
+def order_statistics(values: DataFrame, ranks: list[int]) -> list:
+    """The values in column x that stand at ranks (from 0) in their order: counts by value in ranges, of which one is looked into."""
+    counts = checkpointed(values.groupBy("x").agg(F.count("*").alias("n")).repartitionByRange("x").withColumn("_part", F.spark_partition_id()))
+    before, places = 0, {}
+    for r in counts.groupBy("_part").agg(F.sum("n").alias("n")).orderBy("_part").collect():
+        places |= {rank: (r["_part"], rank - before) for rank in ranks if before <= rank < before + r.n}
+        before += r.n
+    upto = F.sum("n").over(Window.partitionBy("_part").orderBy("x"))
+    found = []
+    for rank in ranks:
+        part, at = places[rank]
+        found.append(counts.where(F.col("_part") == part).withColumn("_upto", upto).where(F.col("_upto") > at).agg(F.min("x")).first()[0])
+    return found
+
+
 def scalar_range(points: DataFrame, quantile: float, dim: int) -> tuple[float, float]:
-    """The order statistics between which values are coded, over all elements, or a sample of MOST_VALUES about."""
+    """The order statistics of all elements between which values are coded."""
+    if quantile >= 1:
+        r = points.agg(F.min(F.array_min("vector")), F.max(F.array_max("vector"))).first()
+        return (float(r[0]), float(r[1])) if r[0] is not None else (0.0, 0.0)
     n = points.count() * dim
-    if n > MOST_VALUES:
-        points = points.where(F.pmod(F.xxhash64("slot"), F.lit(math.ceil(n / MOST_VALUES))) == 0)
-        n = points.count() * dim
     if not n:
         return 0.0, 0.0
-    low, high = (0, n - 1) if quantile >= 1 else (math.floor((1 - quantile) / 2 * n), min(n - 1, math.floor((1 + quantile) / 2 * n)))
-    at = lambda i: f"percentile_disc({(i + 0.5) / n!r}) WITHIN GROUP (ORDER BY x)"
-    r = points.select(F.explode("vector").alias("x")).agg(F.expr(at(low)).alias("low"), F.expr(at(high)).alias("high")).first()
-    return float(r.low), float(r.high)
+    low, high = order_statistics(points.select(F.explode("vector").alias("x")), [math.floor((1 - quantile) / 2 * n), min(n - 1, math.floor((1 + quantile) / 2 * n))])
+    return float(low), float(high)
 
 
 def scalar_codes(vector: Column, low: float, high: float) -> Column:
@@ -53,16 +67,9 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def kmeans(data: np.ndarray, k: int, rounds: int, seed: int = 7) -> np.ndarray:
-    """Lloyd's rounds after k-means++ seeding, for a bounded sample. An empty cluster takes the farthest vector."""
-    rng = np.random.default_rng(seed)
-    centres = data[[rng.integers(len(data))]]
-    near = ((data - centres[0]) ** 2).sum(1)
-    while len(centres) < k:
-        total = near.sum()
-        pick = rng.choice(len(data), p=near / total) if total > 0 else rng.integers(len(data))
-        centres = np.vstack([centres, data[pick]])
-        near = np.minimum(near, ((data - data[pick]) ** 2).sum(1))
+def kmeans(data: np.ndarray, k: int, rounds: int, start: np.ndarray | None = None, seed: int = 7) -> np.ndarray:
+    """Lloyd's rounds from `start`, or after k-means++ seeding, for a bounded sample. An empty cluster takes the farthest vector."""
+    centres = start if start is not None else _seeded(data, k, np.random.default_rng(seed))
     for _ in range(rounds):
         own, far = nearest(data, centres)
         new = np.stack([data[own == i].mean(0) if (own == i).any() else data[far.argmax()] for i in range(k)])
@@ -73,17 +80,34 @@ def kmeans(data: np.ndarray, k: int, rounds: int, seed: int = 7) -> np.ndarray:
     return centres
 
 
+def _seeded(data: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    chosen = [int(rng.integers(len(data)))]
+    near = ((data - data[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < k:
+        total = near.sum()
+        chosen.append(int(rng.choice(len(data), p=near / total) if total > 0 else rng.integers(len(data))))
+        near = np.minimum(near, ((data - data[chosen[-1]]) ** 2).sum(1))
+    return data[chosen]
+
+
 def nearest(data: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest centre of each row, the first of equals, and its squared distance."""
-    far = np.maximum((data**2).sum(1)[:, None] - 2 * data @ centres.T + (centres**2).sum(1), 0)
-    own = far.argmin(1)
-    return own, far[np.arange(len(data)), own]
+    """The nearest centre of each row, the first of equals, and its squared distance; ROWS rows at a time."""
+    own, near = np.empty(len(data), np.int64), np.empty(len(data))
+    norms = (centres**2).sum(1)
+    for at in range(0, len(data), ROWS):
+        some = data[at : at + ROWS]
+        far = np.maximum((some**2).sum(1)[:, None] - 2 * some @ centres.T + norms, 0)
+        own[at : at + ROWS] = far.argmin(1)
+        near[at : at + ROWS] = far[np.arange(len(some)), own[at : at + ROWS]]
+    return own, near
 
 
 def sample_vectors(points: DataFrame, most: int) -> np.ndarray:
-    """`most` vectors at most, by hash of their slots: the bound of what a model is fitted on."""
-    rows = points.orderBy(F.xxhash64("slot"), "slot").limit(most).select("vector").collect()
-    return np.array([r.vector for r in rows], np.float64)
+    """About `most` vectors at most, those of the least hashes of their slots: the bound of what a model is fitted on."""
+    n, top = points.count(), 1 << 40
+    some = points.where(F.pmod(F.xxhash64("slot"), F.lit(top)) < round(min(1.0, most / max(1, n)) * top)) if n > most else points
+    vectors = some.sort(F.xxhash64("slot"), "slot").select("vector").toArrow().column(0).combine_chunks()
+    return np.asarray(vectors.flatten(), np.float32).reshape(len(vectors), -1).astype(np.float64) if len(vectors) else np.empty((0, 0))
 
 
 def product_codebooks(points: DataFrame, parts: int) -> np.ndarray:
@@ -154,3 +178,25 @@ def two_stage(coarse: DataFrame, points: DataFrame, query: list[float], metric:
 
 def best_coarse(coarse: DataFrame, width: int) -> DataFrame:
     return coarse.orderBy(F.desc("score"), F.desc("slot")).limit(width).select("slot")
+
+
+def decoded(coded: DataFrame, known: dict) -> DataFrame:
+    """(slot, id, vector): what scalar or product codes stand for, or the signs of binary ones."""
+    if known["kind"] == "scalar":
+        return coded.select("slot", "id", scalar_values(F.col("code"), known["low"], known["high"]).cast("array<float>").alias("vector"))
+    books, dim = np.array(known.get("books", [])), known["dim"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if known["kind"] == "binary":
+                words = np.stack(batch.column(2).to_numpy(zero_copy_only=False))
+                values = ((words[:, [i // 63 for i in range(dim)]] >> np.array([i % 63 for i in range(dim)])) & 1) * 2.0 - 1
+            else:
+                codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, len(books))
+                values = books[np.arange(len(books)), codes].reshape(len(codes), dim)
+            ends = pa.array(np.arange(len(values) + 1, dtype=np.int32) * dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(values.astype(np.float32).ravel()))], ["slot", "id", "vector"])
+
+    return coded.select("slot", "id", "code").mapInArrow(run, "slot long, id string, vector array<float>")

@@ -66,7 +66,11 @@ def batch_search(points: DataFrame, queries: DataFrame, k: int, metric: str, thr
     against TOGETHER of them as one matrix product; a task keeps k rows for each query, so what is shuffled doesn't grow with
     the points of a task.
     """
-    found = _in_blocks(points, queries, block, lambda qids, vectors: _best_of(qids, vectors, k, metric, threshold))
+    return top_of_each(in_blocks(points, queries, block, lambda qids, vectors: best_of(qids, vectors, k, metric, threshold)), k)
+
+
+def top_of_each(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each qid in found (qid, slot, id, score), with their rank."""
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("slot"))
     top = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
     return top.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "slot")))
@@ -77,7 +81,7 @@ def _together(q: np.ndarray, metric: str, points: np.ndarray) -> Iterator[tuple[
         yield at, D.scores(metric, q[at : at + TOGETHER], points)
 
 
-def _best_of(qids: np.ndarray, vectors: np.ndarray, k: int, metric: str, threshold: float | None):
+def best_of(qids: np.ndarray, vectors: np.ndarray, k: int, metric: str, threshold: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, pa.Table] = {}
         for batch in batches:
@@ -103,7 +107,7 @@ def _best_of(qids: np.ndarray, vectors: np.ndarray, k: int, metric: str, thresho
     return run
 
 
-def _in_blocks(points: DataFrame, queries: DataFrame, block: int | None, task) -> DataFrame:
+def in_blocks(points: DataFrame, queries: DataFrame, block: int | None, task, *more: str) -> DataFrame:
     """Points passed through task(qids, vectors) for each block of queries, which goes out with the tasks."""
     told = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
     block = block or max(TOGETHER, PASS_BYTES // (8 * (told.dim or 1)))
@@ -113,7 +117,7 @@ def _in_blocks(points: DataFrame, queries: DataFrame, block: int | None, task) -
         some = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i)
         rows = some.select(F.col("qid").cast("long"), F.col("vector").cast("array<double>")).toArrow()  # about `block` queries
         vectors = np.array(rows.column(1).combine_chunks().flatten()).reshape(rows.num_rows, -1) if rows.num_rows else np.empty((0, 0))
-        part = points.select("slot", "id", "vector").mapInArrow(task(rows.column(0).to_numpy(), vectors), "qid long, slot long, id string, score double")
+        part = points.select("slot", "id", "vector", *more).mapInArrow(task(rows.column(0).to_numpy(), vectors), "qid long, slot long, id string, score double")
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -131,4 +135,4 @@ def similarity_join(points: DataFrame, queries: DataFrame, floor: float, metric:
 
         return run
 
-    return _in_blocks(points, queries, block, all_near).select("qid", "id", "score")
+    return in_blocks(points, queries, block, all_near).select("qid", "id", "score")

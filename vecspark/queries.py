@@ -19,7 +19,6 @@ from vecspark.operators import quantization as quant
 from vecspark.operators import search as S
 from vecspark.plans.filters import compile_filter, where
 from vecspark.sources.files import scratch_folder
-from vecspark.streaming.ingest import upsert_stream
 from vecspark.types import SearchQuery
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -269,10 +268,10 @@ def duplicate_classes_by_embedding(spark, sf_dir):
     return members.join(linked, members["class_id"] == linked["qid"], "left").select("id", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
-@query("SELECT vec_id AS slot, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS one FROM embeddings WHERE vec_id < 20")
+@query("SELECT vec_id AS slot, round(embedding[1]::DOUBLE / length, 5) AS first, round(embedding[64]::DOUBLE / length, 5) AS last FROM (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS length FROM embeddings)")
 def normalize_l2(spark, sf_dir):
     unit = D.normalised(F.col("vector"))
-    return points(spark, sf_dir).where("slot < 20").select("slot", F.round(D.dot(unit, unit), 6).alias("one"))
+    return points(spark, sf_dir).select("slot", unit.alias("unit")).select("slot", F.round(F.get("unit", F.lit(0)), 5).alias("first"), F.round(F.get("unit", F.lit(DIM - 1)), 5).alias("last"))
 
 
 @query(knn_sql("Manhattan", 10, vec_id=5))
@@ -316,11 +315,6 @@ def count_by_filter(spark, sf_dir):
     return spark.createDataFrame([(n,)], "n long")
 
 
-@query(f"{_STATE} ({_LOADED}) WHERE n = 7")
-def get_point(spark, sf_dir):
-    return state(collection(spark, sf_dir)).where("id = '7'")
-
-
 @query("SELECT vec_id::VARCHAR AS id FROM embeddings WHERE vec_id > 20 ORDER BY vec_id LIMIT 15")
 def scroll_page(spark, sf_dir):
     """A page of a scroll is what its caller asks for."""
@@ -466,9 +460,10 @@ def ivf_drift(spark, sf_dir):
 
 @query(f"SELECT list_id::INT AS list_id, i::INT AS i, round(avg(x), 5) AS mean FROM (SELECT list_id, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM ({_ASSIGNED})) GROUP BY 1, 2")
 def kmeans_one_step(spark, sf_dir):
-    """The means of all lists, as one round over the whole table."""
-    each = _assigned(spark, sf_dir)[0].select("list_id", F.posexplode("vector").alias("i", "x"))
-    return each.groupBy("list_id", "i").agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"))
+    """One round of kmeans() over all vectors, from the first eight of them."""
+    rows = points(spark, sf_dir)
+    means = quant.kmeans(quant.sample_vectors(rows, rows.count()), 8, 1, _matrix(spark, sf_dir, "slot < 8"))
+    return spark.createDataFrame([(n, i, round(float(x), 5)) for n, row in enumerate(means) for i, x in enumerate(row)], "list_id int, i int, mean double")
 
 
 @query("SELECT vec_id::VARCHAR AS id, list_sum(list_transform(embedding, lambda x: round((greatest(-0.25, least(0.25, x::DOUBLE)) + 0.25) / (0.5 / 255))))::BIGINT AS total FROM embeddings")
@@ -517,64 +512,9 @@ def pq_encode(spark, sf_dir):
     return coded.select("id", F.concat_ws(",", *[byte(i) for i in range(4)]).alias("codes"))
 
 
-def _recall(spark, sf_dir, engine: Engine, **options) -> DataFrame:
-    """Of the exact ten nearest of one point, the share that an approximate search gives too; for many points, see the tests."""
-    asked = vector_of(spark, sf_dir, 3)
-    near = lambda **o: {r.id for r in engine.search("c", SearchQuery(asked, with_payload=False, **o)).collect()}
-    exact = {r.id for r in S.search(engine.points("c"), SearchQuery(asked, with_payload=False), "Cosine", DIM).collect()}
-    return spark.createDataFrame([(len(exact & near(**options)) / max(1, len(exact)) >= 0.8,)], "recall_reached boolean")
-
-
-@query()
-def graph_knn_recall(spark, sf_dir):
-    engine = collection(spark, sf_dir, index="Hnsw")
-    engine.build_index("c")
-    return _recall(spark, sf_dir, engine, ef_search=100)
-
-
-@query()
-def pq_knn_recall(spark, sf_dir):
-    engine = collection(spark, sf_dir, quantization={"kind": "product", "ratio": 16})
-    engine.build_quantization("c")
-    return _recall(spark, sf_dir, engine, rescore=True, oversampling=10)
-
-
 @query(knn_sql("Cosine"))
 def ivf_collection_search(spark, sf_dir):
     """A search through a built index that probes all its lists."""
     engine = collection(spark, sf_dir, index="Ivf", ivf={"lists": 16, "min_build_points": 10})
     engine.build_index("c")
     return engine.search("c", SearchQuery(vector_of(spark, sf_dir, 0), nprobe=16, with_payload=False)).withColumn("score", F.round("score", 6))
-
-
-@query("SELECT vec_id::VARCHAR AS id FROM embeddings")
-def snapshot_round_trip(spark, sf_dir):
-    engine = collection(spark, sf_dir)
-    folder = scratch_folder(spark, "snapshot")
-    engine.export_snapshot(folder)
-    engine.delete_collection("c")
-    engine.import_snapshot(folder)
-    return engine.points("c").select("id")
-
-
-@query("SELECT vec_id::VARCHAR AS id FROM embeddings WHERE vec_id % 2 = 0")
-def promote_collection(spark, sf_dir):
-    """A rebuilt collection takes the live one's name; the backup can be named and restored."""
-    engine = collection(spark, sf_dir)
-    engine.create_collection("c.rebuild-1", {"dim": DIM, "index": "Flat"})
-    engine.upsert_dataframe("c.rebuild-1", points(spark, sf_dir).where("slot % 2 = 0").select("id", "vector", "payload", F.col("slot").alias("seq")), payload="payload")
-    engine.promote_temp_collection("c.rebuild-1", "c")
-    return engine.points("c").select("id")
-
-
-@query("SELECT vec_id::VARCHAR AS id, vec_id % 4 AS part FROM embeddings")
-def stream_ingest(spark, sf_dir):
-    """Embeddings that come as a stream of files end up in the collection."""
-    engine = Engine(spark, scratch_folder(spark, "collections"))
-    engine.create_collection("c", {"dim": DIM, "index": "Flat"})
-    folder = scratch_folder(spark, "stream")
-    rows = points(spark, sf_dir).select("id", "vector", "payload", F.col("slot").alias("seq"))
-    rows.repartition(2).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
-    upsert_stream(engine, "c", stream, f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return engine.points("c").select("id", (F.col("id").cast("long") % 4).alias("part"))
