@@ -35,13 +35,17 @@ def enumerate_paths(nodes: DataFrame) -> DataFrame:
     of every root-to-leaf path, and how far above the leaf it stands.
 
     A parent that isn't there makes its child a root. There are as many rounds of joins as the logarithm of the longest
-    path, all keyed by single messages, so one tree with most of the rows is spread over all tasks. Trees mustn't have cycles.
+    path, all keyed by single messages, so one tree with most of the rows is spread over all tasks. Messages of a cycle, and
+    those that reply to one however far away, have no root and are in no path.
     """
     known = nodes.select("tree", F.col("node").alias("parent"))
     links = nodes.where(F.col("parent").isNotNull()).select("tree", "node", "parent").join(known, ["tree", "parent"], "left_semi")
     up = checkpointed(links.select("tree", "node", F.col("parent").alias("to")))
+    longest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     levels = []
     while not up.isEmpty():
+        if 1 << len(levels) >= longest:  # farther up than there are messages
+            return enumerate_paths(checkpointed(nodes.join(up.select("tree", "node").distinct(), ["tree", "node"], "left_anti")))
         levels.append(up)
         further = up.select("tree", F.col("node").alias("to"), F.col("to").alias("_to"))
         up = checkpointed(up.join(further, ["tree", "to"]).select("tree", "node", F.col("_to").alias("to")))
@@ -60,8 +64,12 @@ def format_chats(messages: DataFrame, best: int | None = 1) -> DataFrame:
     tree (None: all): tree, leaf, rank int, score, n_turns long, formatted string, loss array of (start, end).
 
     loss: spans of code points in formatted. A null role, text or score is empty or zero. Ranks go by score, then by the
-    smaller leaf. A tree is one row of output for each chosen path, and is gathered for no other purpose.
+    smaller leaf. A tree is one row of output for each chosen path, and is gathered for no other purpose. Of rows that share
+    tree and node the least counts, by parent, role, text and score; rows without a tree or node don't. Messages of cycles
+    are in no path.
     """
+    one = F.min(F.struct("parent", "role", "text", "score")).alias("_m")
+    messages = checkpointed(messages.where(F.col("tree").isNotNull() & F.col("node").isNotNull()).groupBy("tree", "node").agg(one).select("tree", "node", "_m.*"))
     full = enumerate_paths(messages).join(messages, ["tree", "node"])
     turns = full.select("tree", "leaf", "above", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     if best is not None:
@@ -108,7 +116,7 @@ def op3_chat(spark, sf_dir: str) -> DataFrame:
     """All conversations and one more, formatted and read back."""
     more = spark.sql("SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    chats = format_chats(checkpointed(reply_chains(turns)))
+    chats = format_chats(reply_chains(turns))
     digest = lambda text: F.sha2(text.cast("binary"), 256)
     read = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     back = chats.select("tree", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss")).alias("trained"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from vecspark.sources.files import checkpointed, scratch_folder
+
+__all__ = ["byte_lengths", "byte_strings", "checkpointed", "flat", "free_name", "pieces", "scratch_folder", "table"]
+
 #: Bytes of text that one numpy step works on.
 PIECE = 1 << 20
 
@@ -17,12 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, cut from its lineage by files in the cluster's shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def pieces(batches: Iterable[pa.RecordBatch], text: int = 1, limit: int = PIECE) -> Iterator[pa.RecordBatch]:

@@ -1,20 +1,23 @@
 """Benchmark decontamination: which test items stand in which documents, by containment of word shingles.
 
-An item of n shingles that is contained to t or more lacks fewer than n(1 - t) + 1 of them. So of its n(1 - t) + 1 least
-shingle hashes (a bottom-k MinHash sketch) at least one is in the document. Items are partitioned by n, as k depends on it;
-a document whose hashes meet a sketch is a candidate, however long it is, and candidates are verified on the exact shingles.
-No pair over the threshold is missed.
+Items are partitioned by their number of shingles n, in classes from 2^c to 2^(c + 1) - 1. An item that is contained to t or
+more lacks at most l(n) of its shingles, so of the k least of its shingle hashes (a bottom-k MinHash sketch) at least k - l(n)
+are in the document. Each class has a k of its own, twice the largest l(n) in it and one, and is searched by itself: a document,
+however long it is, is a candidate for an item once it has that many of the sketch. Candidates are verified on the exact
+shingles. No pair over the threshold is missed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecspark.llm.common import byte_strings, pieces, table
 from vecspark.llm.words import LETTERS, Words, words_of
@@ -48,43 +51,69 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def lacking(n: int, threshold: float) -> int:
+    """How many of n shingles a document can do without."""
+    return n - int(np.ceil(n * threshold - 1e-9))
+
+
+@dataclass(frozen=True)
+class SizeClass:
+    """The sketches of the items of one class: each hash, whose it is, and how many of an item's a document has to have."""
+
+    sketch: np.ndarray
+    owner: np.ndarray
+    least: dict[int, int]
+
+    def candidates(self, hashes: np.ndarray) -> set[int]:
+        """hashes: distinct ones of a document that are in any sketch of the class."""
+        low, high = np.searchsorted(self.sketch, hashes), np.searchsorted(self.sketch, hashes, side="right")
+        owners, hits = np.unique(np.concatenate([self.owner[a:b] for a, b in zip(low, high, strict=True)]), return_counts=True)
+        return {i for i, n in zip(owners.tolist(), hits.tolist(), strict=True) if n >= self.least[i]}
+
+
 class Index:
-    """The sketches of a block of items, and their exact shingles."""
+    """The exact shingles of a block of items, and their sketches by class of size."""
 
-    def __init__(self, items: list[tuple[int, str]], size: int, threshold: float) -> None:
-        words = words_of([(text or "").encode() for _, text in items], LETTERS)
+    def __init__(self, items: list[tuple[str, str]], size: int, threshold: float) -> None:
+        words = words_of([text.encode() for _, text in items], LETTERS)
         hashes, number = shingle_hashes(words, size)
         first, last, _ = words.shingles(size)
         ends = np.cumsum(number)
         self.ids, self.size, self.threshold = [i for i, _ in items], size, threshold
-        self.shingles, sketch, owner = [], [], []
+        self.shingles: list[set[bytes]] = []
+        by_class: dict[int, list[tuple[int, np.ndarray, int]]] = {}
         for i, (a, b) in enumerate(zip(ends - number, ends, strict=True)):
-            exact = {words.norm[words.start[x] : words.end[y]] for x, y in zip(first[a:b], last[a:b], strict=True)}
-            self.shingles.append(exact)
-            distinct = np.unique(hashes[a:b])
-            lacking = len(exact) - int(np.ceil(len(exact) * threshold - 1e-9))  # of so many shingles of n, one can do without
-            sketch.append(distinct[: lacking + 1])
-            owner.append(np.full(len(sketch[-1]), i))
-        order = np.argsort(all_ := np.concatenate(sketch), kind="stable")
-        self.sketch, self.owner = all_[order], np.concatenate(owner)[order]
-
-    def candidates(self, hashes: np.ndarray) -> np.ndarray:
-        """Of each hash, whether it is in any sketch."""
-        at = np.minimum(np.searchsorted(self.sketch, hashes), len(self.sketch) - 1)
-        return self.sketch[at] == hashes
-
-    def search(self, words: Words, hashes: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+            self.shingles.append({words.norm[words.start[x] : words.end[y]] for x, y in zip(first[a:b], last[a:b], strict=True)})
+            if n := len(self.shingles[-1]):
+                c = n.bit_length() - 1
+                k = 2 * max(lacking(m, threshold) for m in range(1 << c, 2 << c)) + 1
+                some = np.unique(hashes[a:b])[:k]
+                by_class.setdefault(c, []).append((i, some, max(1, len(some) - lacking(n, threshold))))
+        self.classes: list[SizeClass] = []
+        for c in sorted(by_class):
+            every = np.concatenate([some for _, some, _ in by_class[c]])
+            owner = np.concatenate([np.full(len(some), i) for i, some, _ in by_class[c]])
+            order = np.argsort(every, kind="stable")
+            self.classes.append(SizeClass(every[order], owner[order], {i: least for i, _, least in by_class[c]}))
+        self.any = np.unique(np.concatenate([c.sketch for c in self.classes])) if self.classes else np.empty(0, np.uint64)
+
+    def search(self, words: Words, hashes: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, str, int, int]]:
         """(document's place, item, shared shingles, the item's shingles) of all that reach the threshold."""
-        hit = np.flatnonzero(self.candidates(hashes)) if len(self.sketch) else []
+        hit = np.flatnonzero(among(hashes, self.any))
         if not len(hit):
             return
         first, last, _ = words.shingles(self.size)
         ends = np.cumsum(number)
         place = np.searchsorted(ends, hit, side="right")
-        for doc in np.unique(place).tolist():
-            found = hashes[hit[place == doc]]
-            low, high = np.searchsorted(self.sketch, found), np.searchsorted(self.sketch, found, side="right")
-            items = {i for a, b in zip(low, high, strict=True) for i in self.owner[a:b].tolist()}
+        edges = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]]))
+        for x, y in pairwise(edges.tolist()):
+            doc, found, items = int(place[x]), np.unique(hashes[hit[x:y]]), set()
+            for c in self.classes:
+                own = found[among(found, c.sketch)]
+                if len(own):
+                    items |= c.candidates(own)
+            if not items:
+                continue
             a, b = ends[doc] - number[doc], ends[doc]
             own = {words.norm[x:y] for x, y in zip(words.start[first[a:b]].tolist(), words.end[last[a:b]].tolist(), strict=True)}
             for i in sorted(items):
@@ -93,21 +122,29 @@ class Index:
                     yield doc, self.ids[i], shared, len(self.shingles[i])
 
 
+def among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Of each hash, whether it is in the sorted array `known`."""
+    if not len(known):
+        return np.zeros(len(hashes), bool)
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (doc_id, item_id, shared, n_shingles, containment) of `threshold` or more.
 
     Words are runs of letters, digits and what isn't ASCII, A-Z in lower case, so punctuation doesn't matter. An item of fewer
     words than a shingle is one shingle, which a document has only if those are all its words; items without words, and nulls,
-    are in no document. Repeated rows of either table give repeated pairs. Items are searched for in blocks of bounded bytes,
-    each by one pass over the documents, whose texts are never shuffled.
+    are in no document. Repeated rows of either table give repeated pairs; equal items are searched for once. Items go out in
+    blocks of bounded bytes, each for one pass over the documents, whose texts are never shuffled. Ids may be of any type.
     """
-    key, text_at = [F.col(doc_id).alias("doc_id"), F.col(text).alias("text")], 1
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where(F.length(text) > 0)
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    documents, text_at = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), 1
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.sha2(F.col(text).cast("binary"), 256).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0)
+    texts = items.select("key", "text").dropDuplicates(["key"])
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + total // BLOCK_BYTES
     found = None
     for block in range(blocks):
-        some = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        some = texts if blocks == 1 else texts.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block)
         shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in some.collect()])  # BLOCK_BYTES, about
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -118,12 +155,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
                 words = words_of(byte_strings(batch.column(text_at)), LETTERS)
                 rows = list(index.search(words, *shingle_hashes(words, size)))
                 if rows:
-                    place, item, common, n = (np.array(x) for x in zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place)), pa.array(item, pa.int64()), pa.array(common, pa.int64()), pa.array(n, pa.int64()), pa.array(common / n)], ["doc_id", "item_id", "shared", "n_shingles", "containment"])
+                    place, item, common, n = zip(*rows, strict=True)
+                    common, n = np.array(common), np.array(n)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place)), pa.array(item, pa.string()), pa.array(common, pa.int64()), pa.array(n, pa.int64()), pa.array(common / n)], ["doc_id", "key", "shared", "n_shingles", "containment"])
 
-        part = docs.select(*key).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, item_id long, shared long, n_shingles long, containment double")
+        part = documents.mapInArrow(run, T.StructType([documents.schema["doc_id"], *PAIR]))
         found = part if found is None else found.unionByName(part)
-    return found
+    return found.join(items.select("item_id", "key"), "key").select("doc_id", "item_id", "shared", "n_shingles", "containment")
+
+
+PAIR = [T.StructField("key", T.StringType()), T.StructField("shared", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("containment", T.DoubleType())]
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -7,18 +7,15 @@ away. Every row is placed from its own key, so hot sources or groups of copies n
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import table
+from vecspark.llm.common import checkpointed, free_name, table
 
 #: Hex digits of md5 that make u; 13 digits are 52 bits, exact in a double.
 DIGITS = 13
-#: Rows that one group of the numbering holds, about.
-GROUP_ROWS = 100_000
 
 
 def cost(key: Column, shard: Column, weight: Column) -> Column:
@@ -40,25 +37,30 @@ def assign_shards(df: DataFrame, key: str, weights: Sequence[float], extra_weigh
     A null key counts as an empty string; equal keys share a shard. Columns of df named shard or grown_shard are replaced.
     """
     text = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    won = df.withColumn("_won", shard_of(text, weights)).withColumn("shard", F.col("_won.shard"))
+    best = free_name(df, "_won")
+    won = df.withColumn(best, shard_of(text, weights)).withColumn("shard", F.col(f"{best}.shard"))
     if extra_weight is not None:
         new = F.struct(cost(text, F.lit(len(weights)), F.lit(float(extra_weight))).alias("cost"), F.lit(len(weights)).alias("shard"))
-        won = won.withColumn("grown_shard", F.least(F.col("_won"), new).shard)
-    return won.drop("_won")
+        won = won.withColumn("grown_shard", F.least(F.col(best), new).shard)
+    return won.drop(best)
 
 
-def number_rows(df: DataFrame, by: str, order: Sequence[str], group_rows: int = GROUP_ROWS) -> DataFrame:
-    """df with slot long: 0, 1, 2 ... within each value of `by`, without gaps.
+def number_rows(df: DataFrame, by: str, order: Sequence[str]) -> DataFrame:
+    """df with slot long: 0, 1, 2 ... within each value of `by`, in the order of `order`, without gaps.
 
-    Rows are numbered in groups of group_rows rows at most, about: each by itself, from where the groups before it end, so
-    no task has to hold a whole shard. Rows that agree in `order` take their slots in any order.
+    Rows are dealt out by ranges of (by, order), so no task has to hold a whole shard; each range is numbered by itself, from
+    where those before it end. Rows that agree in `order` may be parted too, and take their slots in any order among
+    themselves. What is numbered is written once, so a lost task finds the same ranges. A column slot of df is replaced.
     """
-    groups = max(1, math.ceil(df.count() / group_rows))
-    dealt = df.withColumn("_group", F.pmod(F.xxhash64(*order), F.lit(groups)))
-    before = Window.partitionBy(by).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy(by, "_group").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(by, "_group").orderBy(*order)
-    return dealt.withColumn("_row", F.row_number().over(inside)).join(starts, [by, "_group"]).withColumn("slot", F.col("_start") + F.col("_row") - 1).drop("_group", "_row", "_start")
+    df = df.drop("slot")
+    tie, part, row, start = (free_name(df, f"_{n}") for n in ("tie", "part", "row", "start"))
+    ranged = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(by, *order, tie)
+    dealt = checkpointed(ranged.withColumn(part, F.spark_partition_id()))
+    before = Window.partitionBy(by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(by, part).agg(F.count("*").alias(row))
+    starts = sizes.withColumn(start, F.coalesce(F.sum(row).over(before), F.lit(0))).drop(row)
+    inside = Window.partitionBy(by, part).orderBy(*order, tie)
+    return dealt.withColumn(row, F.row_number().over(inside)).join(starts, [by, part]).withColumn("slot", F.col(start) + F.col(row) - 1).drop(tie, part, row, start)
 
 
 def op7_rendezvous(spark, sf_dir: str, shards: int = 40) -> DataFrame:
@@ -71,7 +73,6 @@ def op7_rendezvous(spark, sf_dir: str, shards: int = 40) -> DataFrame:
 
 _TABLE = "list_transform(range(0, 256), lambda i: list_reduce([i] || range(0, 8), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"
 _COST = "-ln((('0x' || substr(md5(key || ':' || j), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
-#: For tables of one group of the numbering.
 OP7_SQL = f"""
 WITH crc AS (SELECT {_TABLE} AS t), docs AS (
     SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS key, coalesce(text, '') AS text FROM documents

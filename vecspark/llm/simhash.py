@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecspark.llm.common import byte_strings, checkpointed, pieces, table
+from vecspark.llm.common import byte_strings, checkpointed, free_name, pieces, table
 from vecspark.llm.components import connected_components
 from vecspark.llm.words import BY_SPACE, words_of
 
@@ -137,12 +137,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", fingerprint: str = "fing
     zero are linked like any other. Null keys don't count as smallest; a component of null keys only has a null id.
     """
     df = df.drop("component_id")
+    own = free_name(df, "_f")
     nodes = df.groupBy(F.col(fingerprint).alias("f")).agg(F.min(key).alias("least"))
     roots = connected_components(link_fingerprints(nodes.select("f"), radius))
     known = nodes.join(roots, F.col("f") == F.col("node"), "left").select("f", "least", F.coalesce("root", "f").alias("root"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = known.join(least, "root").select(F.col("f").alias("_f"), "component_id")
-    return df.join(ids, F.col(fingerprint) == F.col("_f")).drop("_f")
+    ids = known.join(least, "root").select(F.col("f").alias(own), "component_id")
+    return df.join(ids, F.col(fingerprint) == F.col(own)).drop(own)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
