@@ -6,14 +6,11 @@ docs. All but the last return the columns of docs.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.llm.bpe import default_vocabulary, encode_texts
-from vecspark.llm.common import checkpointed, table
+from vecspark.llm.common import checkpointed, free_name, scratch_folder, table
 from vecspark.llm.decontamination import find_contamination
 from vecspark.llm.secrets import find_secrets, redact
 from vecspark.llm.simhash import fingerprint_texts, near_duplicates
@@ -23,7 +20,15 @@ from vecspark.llm.toxicity import fit_for, score_texts
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below 0.5 stay; labels are learned from the rows that aren't held out."""
     model = fit_for(docs, table(spark, sf_dir, "labels"))
-    return score_texts(docs, model, new=("_toxicity", "_passages")).where(F.col("_toxicity") < 0.5).select(docs.columns)
+    score, passages = free_name(docs, "toxicity"), free_name(docs, "toxic_passages")
+    return score_texts(docs, model, new=(score, passages)).where(F.col(score) < 0.5).select(docs.columns)
+
+
+def _by_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without what rows name: doc_id and the hash of its text, so each row goes or stays by its own text."""
+    gone = rows.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_hash"])
+    return docs.join(gone, same, "left_anti").select(*(docs[c] for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,24 +36,26 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows that share the smallest doc_id stay together: they can't be told apart by it.
     """
-    prints = checkpointed(fingerprint_texts(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())).select("doc_id", "fingerprint"))
-    gone = near_duplicates(prints).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    prints = checkpointed(fingerprint_texts(texts).select("doc_id", "text_hash", "fingerprint"))
+    return _by_text(docs, near_duplicates(prints).where("doc_id <> component_id"))
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no test item to 0.8 or more stay."""
-    leaks = checkpointed(find_contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti").select(docs.columns)
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("doc_id"), "text")
+    return _by_text(docs, checkpointed(find_contamination(keyed, table(spark, sf_dir, "benchmark")).select("doc_id.*").distinct()))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay, with [REDACTED] in the place of secrets; n_chars follows where a text was changed."""
-    found = find_secrets(docs, out="_secrets")
-    changed = redact(found.withColumn("_changed", F.size("_secrets") > 0), secrets="_secrets")
+    spans = free_name(docs, "secrets")
+    found = find_secrets(docs, out=spans)
+    changed = free_name(found, "changed")
+    clean = redact(found.withColumn(changed, F.size(spans) > 0), secrets=spans)
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_changed"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return changed.select(docs.columns)
+        clean = clean.withColumn("n_chars", F.when(F.col(changed), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return clean.select(docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,9 +76,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written to the shared checkpoint folder (a folder of its own where none is set)."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
-    base = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    """The stages over documents, each written to the shared checkpoint folder (a temporary one in a local session without it)."""
+    base = scratch_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}-{name}")
