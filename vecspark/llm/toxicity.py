@@ -6,7 +6,7 @@
    finds every maximal scoring segment (the algorithm of Ruzzo and Tompa, linear in the number of tokens).
 3. A segment of score S among n tokens has an expected number E = n exp(-lambda S) of such segments by chance; lambda is
    where the mean of exp(lambda s) over the tokens of clean texts is 1. -log(1 - exp(-E)) is the segment's evidence.
-4. A logistic curve over the best and the summed evidence, fitted on the same labelled texts, gives the score.
+4. A logistic curve over the logarithms of the best and the summed evidence, fitted on the same labelled texts, gives the score.
 """
 
 from __future__ import annotations
@@ -27,17 +27,16 @@ from vecspark.llm.words import LETTERS
 
 #: Labelled texts that the model is fitted on at most, by hash of their keys; the statistics settle long before.
 SAMPLE = 20_000
-#: Features at most, by significance: the model's size, whatever the corpus.
-FEATURES = 50_000
 #: Lengths of beginnings in characters, the prior's weight, and the least count of a feature.
 BEGINNINGS, PRIOR, LEAST = (4, 5, 6, 7), 10.0, 3
 #: A feature is kept from so many standard deviations below the largest that chance gives among all features counted.
 LENIENT = 0.4
 #: Score of a token without a feature.
 OTHER = -0.03
-#: Evidence from which a segment is reported, and the most that counts for the score.
-REPORTED, MOST = 3.0, 40.0
-REMEMBERED = 500_000
+#: Evidence from which a segment is reported.
+REPORTED = 3.0
+#: Words and features that a worker keeps in memory before it starts afresh or hands them on.
+REMEMBERED = 200_000
 
 
 def features(word: str) -> list[str]:
@@ -57,7 +56,7 @@ class Model:
         return self.odds[max(known, key=self.rank.__getitem__)] if known else 0.0
 
     def probability(self, best: float, total: float) -> float:
-        z = self.weights[0] + self.weights[1] * min(best, MOST) + self.weights[2] * min(total, MOST)
+        z = self.weights[0] + self.weights[1] * math.log1p(best) + self.weights[2] * math.log1p(total)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -77,23 +76,32 @@ class Scorer:
         return len(words), list(zip(at.tolist(), scores[at].tolist(), strict=True))
 
     def segments(self, n: int, positives: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
-        """(first token, end token exclusive, score) of all maximal scoring segments."""
-        stack: list[tuple[float, float, int, int]] = []  # sum before, sum after, first, end
+        """(first token, end token exclusive, score) of all maximal scoring segments.
+
+        Each candidate keeps where the next one to its left stands whose sum before it is less, so those between are never
+        looked at again.
+        """
+        stack: list[tuple[float, float, int, int, int]] = []  # sum before, sum after, first, end, the candidate to the left
         total, at = 0.0, 0
         for place, score in positives:
             total += OTHER * (place - at)
-            new = (total, total + score, place, place + 1)
+            before, first, j = total, place, len(stack) - 1
             total, at = total + score, place + 1
             while True:
-                j = len(stack) - 1
-                while j >= 0 and stack[j][0] >= new[0]:
-                    j -= 1
-                if j < 0 or stack[j][1] >= new[1]:
+                while j >= 0 and stack[j][0] >= before:
+                    j = stack[j][4]
+                if j < 0 or stack[j][1] >= total:
                     break
-                new = (stack[j][0], new[1], stack[j][2], new[3])
+                before, _, first, _, left = stack[j]
                 del stack[j:]
-            stack.append(new)
-        return [(a, b, r - s) for s, r, a, b in stack]
+                j = left
+            stack.append((before, total, first, at, j))
+        return [(a, b, r - s) for s, r, a, b, _ in stack]
+
+    def passages(self, text: bytes) -> list[tuple[int, int, float]]:
+        """(first token, end token exclusive, evidence) of all maximal scoring segments."""
+        n, positives = self.positives(text)
+        return [(a, b, self.evidence(n, s)) for a, b, s in self.segments(n, positives)]
 
     def evidence(self, n: int, score: float) -> float:
         expected = n * math.exp(-min(700.0, self.model.scale * score))
@@ -107,7 +115,7 @@ def _sample(labels: DataFrame, key: str, label: str, size: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", text: str = "text", size: int = SAMPLE) -> Model:
     """A model of the labelled texts, `size` of them at most. Without both labels, it scores every text by its prior alone."""
     chosen = F.broadcast(_sample(labels, key, label, size))  # `size` rows at most
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(chosen, "_key").select("_label", "_text")
+    rows = checkpointed(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(chosen, "_key").select("_label", "_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_label: list[Counter] = [Counter(), Counter()]
@@ -144,39 +152,47 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "t
     rank = F.sqrt(F.greatest(F.lit(0.0), 2 * (share(t, toxic) + share(c, clean))))
     kept = counts.where(~F.col("feature").isin(" ", "  ")).select("feature", odds.alias("odds"), rank.alias("rank")).where(F.col("odds") > 0)
     significant = math.sqrt(2 * math.log(max(2, counts.count()))) - LENIENT
-    best = kept.where(F.col("rank") >= significant).orderBy(F.desc("rank"), "feature").limit(FEATURES).collect()
+    best = kept.where(F.col("rank") >= significant).collect()  # what a bounded number of texts can make significant
     model = Model({r.feature: r.odds for r in best}, {r.feature: r.rank for r in best})
     return _calibrated(model, rows)
 
 
 def _calibrated(model: Model, rows: DataFrame) -> Model:
-    """model with the scale and the logistic curve of the sampled rows, of which there is a bounded number."""
+    """model with the scale and the logistic curve of the sampled rows.
+
+    The driver sees counts by score, of which the model has a bounded number, then two numbers for each of the sampled texts.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, seen = Scorer(shared.value), Counter()
         for batch in pieces(batches):
-            found = [scorer.positives(x) for x in byte_strings(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([[p for p, _ in x] for _, x in found], pa.list_(pa.int64())), pa.array([[s for _, s in x] for _, x in found], pa.list_(pa.float64()))], ["label", "n", "places", "scores"])
-
-    # Only texts with tokens that score have more than a few bytes here; there are SAMPLE rows at most.
-    seen = rows.mapInArrow(run, "label int, n long, places array<long>, scores array<double>").collect()
-    model.scale = _scale([s for r in seen if not r.label for s in r.scores], sum(r.n for r in seen if not r.label))
-    scorer = Scorer(model)
-    x = np.ones((len(seen), 3))
-    for i, r in enumerate(seen):
-        each = [scorer.evidence(r.n, s) for *_, s in scorer.segments(r.n, list(zip(r.places, r.scores, strict=True)))]
-        x[i, 1:] = min(max(each, default=0.0), MOST), min(sum(each), MOST)
-    model.weights = _logistic(x, np.array([float(r.label > 0) for r in seen]))
+            for y, x in zip(batch.column(0).to_pylist(), byte_strings(batch.column(1)), strict=True):
+                if y <= 0:
+                    n, positives = scorer.positives(x)
+                    seen.update(s for _, s in positives)
+                    seen[OTHER] += n - len(positives)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.float64()), pa.array(list(seen.values()), pa.int64())], ["score", "n"])
+
+    seen = rows.mapInArrow(count, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).orderBy("score").collect()
+    model.scale = _scale(np.array([r.score for r in seen]), np.array([float(r.n) for r in seen]))
+    scaled = rows.sparkSession.sparkContext.broadcast(model)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(scaled.value)
+        for batch in pieces(batches):
+            each = [scorer.passages(x) for x in byte_strings(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([best_of(x) for x in each], pa.float64()), pa.array([total_of(x) for x in each], pa.float64())], ["label", "best", "total"])
+
+    told = np.array(sorted(map(tuple, rows.mapInArrow(weigh, "label int, best double, total double").collect())))
+    model.weights = _logistic(np.column_stack([np.ones(len(told)), np.log1p(told[:, 1:])]), (told[:, 0] > 0).astype(float))
     return model
 
 
-def _scale(positive: list[float], tokens: int) -> float:
+def _scale(score: np.ndarray, n: np.ndarray) -> float:
     """lambda: the positive root of mean(exp(lambda s)) = 1 over the tokens of clean texts; 1 if there is none up to 1."""
-    s = np.array(positive)
-    rest = tokens - len(s)
-    mean = lambda a: (np.exp(a * s).sum() + rest * math.exp(a * OTHER)) / max(1, tokens)
-    if not len(s) or mean(1.0) <= 1:
+    mean = lambda a: (np.exp(a * score) * n).sum() / max(1.0, n.sum())
+    if not (score > 0).any() or mean(1.0) <= 1:
         return 1.0
     low, high = 1e-3, 1.0
     for _ in range(60):
@@ -197,6 +213,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(w.tolist())
 
 
+def best_of(passages: list[tuple[int, int, float]]) -> float:
+    return max((e for *_, e in passages), default=0.0)
+
+
+def total_of(passages: list[tuple[int, int, float]]) -> float:
+    return math.fsum(e for *_, e in passages)
+
+
 PASSAGES = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("evidence", T.DoubleType())]))
 
 
@@ -208,7 +232,7 @@ def score_texts(df: DataFrame, model: Model, text: str = "text", new: tuple[str,
     """
     df = df.drop(*new)
     column = df.columns.index(text)
-    shared = df.sparkSession.sparkContext.broadcast(model)  # FEATURES entries at most
+    shared = df.sparkSession.sparkContext.broadcast(model)  # what a bounded number of labelled texts gave
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -216,9 +240,8 @@ def score_texts(df: DataFrame, model: Model, text: str = "text", new: tuple[str,
         for batch in pieces(batches, column):
             scores, passages = [], []
             for x in byte_strings(batch.column(column)):
-                n, positives = scorer.positives(x)
-                each = [(a, b, scorer.evidence(n, s)) for a, b, s in scorer.segments(n, positives)]
-                scores.append(shared.value.probability(max((e for *_, e in each), default=0.0), sum(e for *_, e in each)))
+                each = scorer.passages(x)
+                scores.append(shared.value.probability(best_of(each), total_of(each)))
                 passages.append([{"start": a, "end": b, "evidence": e} for a, b, e in each if e >= REPORTED])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(passages, kind)], [*batch.schema.names, *new])
 
