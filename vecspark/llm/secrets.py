@@ -1,8 +1,8 @@
 """Secret scans: all rules compiled into one deterministic automaton that reads each byte once.
 
-The automaton tells where which rule matches. A byte after which every state is the start again ends a segment that no match
-leaves, so the rule's own expression is searched only in such segments, which gives the leftmost matches that don't overlap.
-A private key goes on over many lines, so its expression is searched from the first such segment to the end of the text.
+It tells where matches of which rules end. Only then a rule's own two automata look at the stretch between bytes that none of
+its matches reaches across: one reads it backwards and marks where matches start, the other follows the leftmost start to its
+longest end, and so on behind that. These are the rule's leftmost matches that don't overlap.
 """
 
 from __future__ import annotations
@@ -11,78 +11,92 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vecspark.llm.automata import Scanner, compile_rules, scan
+from vecspark.llm.automata import Scanner, Spans, compile_rules, compile_trees, longest, parse, scan
 from vecspark.llm.common import byte_strings, pieces, table
 
 
 @dataclass(frozen=True)
 class Rule:
     kind: str
-    #: What the automaton looks for: a beginning of the expression that other text rarely has.
-    scanned: bytes
-    #: What gives the spans in a segment.
-    spans: bytes
-    #: A match counts if this group (0: all) has so many characters.
-    group: int = 0
+    pattern: bytes
+    #: What stands before the secret itself in a match, which needs so many bytes to count.
+    before: bytes = b""
     least: int = 0
-    #: Whether a match may go on behind the segment in which it begins.
-    lines: bool = False
+    #: Bytes at a match's end that only have to follow it.
+    trail: int = 0
+    #: A beginning of every match that the automaton of all rules has instead, where the whole would square its states.
+    opening: bytes = b""
 
 
-_NAME = rb"(password|passwd|secret|token|api_?key)"
+_NAME = rb"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
 BASE_RULES = (
-    Rule("assign", rb"(?i)" + _NAME + rb"[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]", rb"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8),
-    Rule("access", rb"AKIA[A-Z0-9]", rb"AKIA[A-Z0-9]+", 0, 16),
-    Rule("hex", rb"[0-9a-f]{32,}", rb"[0-9a-f]+", 0, 32),
+    Rule("assign", _NAME + rb"[A-Za-z0-9+/_.=-]+", _NAME, 8),
+    Rule("access", rb"AKIA[A-Z0-9]+", least=16),
+    Rule("hex", rb"[0-9a-f]{32,}"),
 )
-_BEGIN = rb"-----BEGIN [A-Z ]*PRIVATE KEY-----"
-#: All up to END, unless another BEGIN or END comes first.
-_TO_END = rb"(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]*PRIVATE KEY-----"
+_BEGIN, _END = rb"-----BEGIN [A-Z ]*PRIVATE KEY-----", rb"-----END [A-Z ]*PRIVATE KEY-----"
 #: What parts lines of a key: line ends, real or written, with indents, quotes and the like.
-_GAP = rb"(?:\\+[rnt]|\\+(?=\s)|<br\s*/?>|[\s\"'>|#*+,;])++"
-#: Where END is missing: headers, lines of base64 and a shorter last one; or one line alone, cut short.
-_LINES = rb"(?:" + _GAP + rb"[A-Za-z-]+:\x20[^\r\n\\]*)*(?:" + _GAP + rb"[A-Za-z0-9+/]{16,}+=*)+(?:" + _GAP + rb"[A-Za-z0-9+/]++=*)?|" + _GAP + rb"[A-Za-z0-9+/]++=*(?=[\r\n\\\"'<]|\Z)"
+_GAP = rb"(?:\\+[rnt\s]|<br\s*/?>|[\s\"'>|#*+,;])+"
+_HEADERS = rb"(?:" + _GAP + rb"[A-Za-z-]+:\x20[^\r\n\\]*)*"
+#: Such a stretch with a line end in it.
+_BREAK = rb"[\x20\t\"'>|#*+,;]*(?:[\r\n]|\\+[rn]|<br\s*/?>)" + _GAP.removesuffix(b"+") + b"*"
+#: A private key up to its END; where END is missing, headers and lines of base64 that something else than a word follows; and BEGIN by itself.
 MORE_RULES = (
-    Rule("pem", _BEGIN, _BEGIN + rb"(?:" + _TO_END + rb"|" + _LINES + rb"|)", lines=True),
-    Rule("jwt", rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]", rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    Rule("forge", rb"gh[pousr]_[A-Za-z0-9]", rb"gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    Rule("chat", rb"xox[abprs]-[A-Za-z0-9-]", rb"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
-    Rule("payment", rb"[rs]k_live_[A-Za-z0-9]", rb"[rs]k_live_[A-Za-z0-9]+", 0, 24),
+    Rule("pem", _BEGIN + rb"(?:-?-?-?-?[^-])*" + _END, opening=_BEGIN),
+    Rule("pem", _BEGIN + _HEADERS + rb"(?:" + _BREAK + rb"[A-Za-z0-9+/]+=*)+[\r\n\\\"'<]", trail=1, opening=_BEGIN),
+    Rule("pem", _BEGIN),
+    Rule("jwt", rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    Rule("forge", rb"gh[pousr]_[A-Za-z0-9]+", least=40),
+    Rule("chat", rb"xox[abprs]-[A-Za-z0-9-]+", least=15),
+    Rule("payment", rb"[rs]k_live_[A-Za-z0-9]+", least=24),
 )
 RULES = BASE_RULES + MORE_RULES
 
 
 class Finder:
-    """find(data): all (kind number, start, end) in bytes, each kind's leftmost matches that don't overlap."""
-
-    def __init__(self, rules: tuple[Rule, ...], scanner: Scanner) -> None:
-        self.rules, self.scanner = rules, scanner
-        self.spans = [re.compile(r.spans) for r in rules]
-        self.reset = re.compile(b"[" + b"".join(b"\\x%02x" % b for b in sorted(scanner.resets)) + b"]")
+    """find(data): all (kind number, start, end) in bytes, each rule's leftmost matches that don't overlap; of rules of one kind
+    those that lie in no other."""
+
+    def __init__(self, rules: tuple[Rule, ...], scanner: Scanner, spans: list[Spans]) -> None:
+        self.rules, self.scanner, self.spans = rules, scanner, spans
+        self.before = [compile_trees([parse(r.before)], anywhere=False) if r.before else None for r in rules]
+        alone = [compile_rules([r.pattern]).resets for r in rules]
+        self.resets = [re.compile(b"[" + b"".join(b"\\x%02x" % b for b in sorted(x)) + b"]") if x else None for x in alone]
+        kinds = list(dict.fromkeys(r.kind for r in rules))
+        self.kind = [kinds.index(r.kind) for r in rules]
+        self.several = {k for k in self.kind if self.kind.count(k) > 1}
 
     def find(self, data: bytes) -> list[tuple[int, int, int]]:
-        hits = scan(data, self.scanner)
-        if not hits:
-            return []
-        found, seen = [], set()
-        cuts = [0, *(m.end() for m in self.reset.finditer(data)), len(data) + 1]
-        at = 0
-        for end, bits in hits:
+        closed = data + b"\n"  # the end of a text ends its last line
+        ends: dict[int, list[int]] = {}
+        for end, bits in scan(closed, self.scanner):
+            while bits:
+                low = bits & -bits
+                ends.setdefault(low.bit_length() - 1, []).append(end)
+                bits ^= low
+        found = {(self.kind[i], a, b) for i, own in ends.items() for a, b in self._spans(i, closed, own)}
+        inside = {x for x in found if x[0] in self.several and any(y != x and y[0] == x[0] and y[1] <= x[1] and x[2] <= y[2] for y in found)}
+        return sorted(found - inside, key=lambda x: (x[1], x[0], x[2]))
+
+    def _spans(self, i: int, data: bytes, ends: list[int]) -> Iterator[tuple[int, int]]:
+        rule, before, reset = self.rules[i], self.before[i], self.resets[i]
+        cuts = [0, *(m.end() for m in reset.finditer(data)), len(data) + 1] if reset else [0, len(data) + 1]
+        at, done = 0, -1
+        for end in ends:
             while cuts[at + 1] < end:
                 at += 1
-            for i, rule in enumerate(self.rules):
-                key = (i, -1 if rule.lines else at)
-                if bits >> i & 1 and key not in seen:
-                    seen.add(key)
-                    for m in self.spans[i].finditer(data, cuts[at], len(data) if rule.lines else min(cuts[at + 1], len(data))):
-                        if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                            found.append((i, m.start(), m.end()))
-        return sorted(found, key=lambda x: (x[1], x[0]))
+            if at == done:
+                continue
+            done = at
+            for a, b in self.spans[i].find(data, cuts[at], min(cuts[at + 1], len(data))):
+                if b - (longest(before, data, a, b) if before else a) >= rule.least:
+                    yield a, b - rule.trail
 
 
 def _in_characters(data: bytes, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -95,6 +109,11 @@ def _in_characters(data: bytes, found: list[tuple[int, int, int]]) -> list[tuple
     return [(i, places[a], places[b]) for i, a, b in found]
 
 
+@lru_cache(maxsize=4)
+def compiled(rules: tuple[Rule, ...]) -> tuple[Scanner, list[Spans]]:
+    return compile_rules([r.opening or r.pattern for r in rules]), [Spans.of(r.pattern) for r in rules]
+
+
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -105,14 +124,15 @@ def find_secrets(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RU
     others stay as they are. Each text is scanned by itself, so the size of sources or groups of copies doesn't matter.
     """
     df = df.drop(out)
-    shared = df.sparkSession.sparkContext.broadcast(compile_rules([r.scanned for r in rules]))  # its size depends on the rules alone
+    shared = df.sparkSession.sparkContext.broadcast(compiled(rules))  # its size depends on the rules alone
     column = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(rules, shared.value)
+        finder = Finder(rules, *shared.value)
+        kinds = list(dict.fromkeys(r.kind for r in rules))
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in pieces(batches, column):
-            spans = [[{"kind": rules[i].kind, "start": a, "end": b} for i, a, b in _in_characters(x, finder.find(x))] for x in byte_strings(batch.column(column))]
+            spans = [[{"kind": kinds[i], "start": a, "end": b} for i, a, b in _in_characters(x, finder.find(x))] for x in byte_strings(batch.column(column))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], [*batch.schema.names, out])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, SPANS)]))
