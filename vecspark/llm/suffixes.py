@@ -20,6 +20,7 @@ or more goes as a whole, and the earliest one stands for all.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,13 @@ GRAMS = WINDOW - GRAM + 1
 WIDE = GRAMS - 1 + WINDOW
 #: A difference cover. Any two residues are brought into it by one shift.
 COVER, MODULUS = (0, 1, 3), 7
-#: Low bits of a sliding key that hold the place in the text, so the leftmost of equal hashes is least.
-PLACE_BITS = 26
+#: Low bits of a sliding key that hold the place in a stretch, so the leftmost of equal hashes is least; a longer text's anchors
+#: are found in stretches of that many bytes.
+PLACE_BITS = 22
 #: Anchors that a task gathers before it sends them, and rows that are sorted together.
 GATHERED, SORTED = 1_000_000, 50_000
-#: An anchor is hot if it comes so often, and so many are told of at most; the others' buckets are just not split.
-HOT, MOST_HOT = 256, 20_000
+#: Anchors are counted by their hash in so many counters; one is hot if its counter has come so far.
+COUNTERS, HOT = 1 << 21, 256
 #: Runs of columns that a hot anchor's windows are sent in.
 PARTS = 4
 #: Keys of copies that are broadcast at most, 8 bytes each.
@@ -89,7 +91,21 @@ def anchors(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     """raw: texts one after the other, from at[i] to at[i + 1]. Returns text number, hash and packed place of each anchor.
 
     packed: its place in the text, then how far before it the first window stands that it is the anchor of, then how many do.
+    Texts of over 2^PLACE_BITS bytes stand alone; where two stretches meet, an anchor's windows may be told in two parts.
     """
+    most = 1 << PLACE_BITS
+    if len(raw) <= most:
+        return _anchors(raw, at)
+    found = []
+    for text, (a, b) in enumerate(pairwise(at.tolist())):
+        for base in range(a, max(a + 1, b - WINDOW + 1), most - WINDOW + 1):
+            some = raw[base : min(b, base + most)]
+            _, h, packed = _anchors(some, np.array([0, len(some)]))
+            found.append((np.full(len(h), text), h, packed + ((base - a) << 14)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _anchors(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(raw) < WINDOW:
         none = np.empty(0, np.int64)
         return none, none, none
@@ -202,8 +218,9 @@ def _send_surroundings(hot: np.ndarray):
             text = np.repeat(np.arange(len(number)), number)
             sums, (place, before, count) = _sums(raw), _unpacked(packed)
             key = stretch_hashes(sums, at[text] + place, GRAM).view(np.int64)
-            found = np.minimum(np.searchsorted(hot, key), max(0, len(hot) - 1))
-            is_hot = hot[found] == key if len(hot) else np.zeros(len(key), bool)
+            counter = key % COUNTERS
+            found = np.minimum(np.searchsorted(hot, counter), max(0, len(hot) - 1))
+            is_hot = hot[found] == counter if len(hot) else np.zeros(len(key), bool)
             cold = np.flatnonzero(~is_hot)
             sent = [(cold, key[cold], before[cold], count[cold])]
             first = GRAMS - 1 - before
@@ -306,6 +323,13 @@ def _find_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _runs(rid: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Runs of one text that touch or overlap become one."""
+    order = np.lexsort((end, start, rid))
+    rid, start, end = rid[order], start[order], end[order]
+    far = np.maximum.accumulate(end + (np.unique(rid, return_inverse=True)[1].astype(np.int64) << 32)) & 0xFFFFFFFF if len(rid) else end
+    new = np.concatenate([[True], (rid[1:] != rid[:-1]) | (start[1:] > far[:-1])])[: len(rid)]
+    last = np.concatenate([new[1:], [True]])[: len(rid)]
+    rid, start, end = rid[new], start[new], far[last]
     return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(start << 32 | end)], ["rid", "run"])
 
 
@@ -362,7 +386,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     A byte goes if it lies in a string of WINDOW bytes that also starts earlier: in a smaller doc_id, or before in the same
     text. Nulls are empty texts. Rows with the same doc_id stand in the order of their texts' digests; rows that agree in
-    both are one text and have the same result. A null doc_id comes before all others.
+    both are one text and have the same result. A null doc_id comes before all others. A task holds one text at a time and
+    about 100 bytes for each of its bytes; a text may have up to 2^31 bytes.
     """
     rows = _with_rid(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     digests = rows.select("rid", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).distinct()
@@ -371,8 +396,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     first_of_all = rows.where(F.octet_length("text") >= WINDOW).select("rid", "text")
     if copies.count() <= MOST_BROADCAST:  # else their anchors count as repeated ones, which costs more but changes nothing
         first_of_all = first_of_all.join(F.broadcast(copies.select("rid")), "rid", "left_anti")
-    often = first_of_all.mapInArrow(_count_anchors, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
-    hot = np.sort(np.array([r.key for r in often.orderBy(F.desc("n"), "key").limit(MOST_HOT).collect()], np.int64))
+    often = first_of_all.mapInArrow(_count_anchors, "key long, n long").groupBy(F.pmod("key", F.lit(COUNTERS)).alias("counter")).agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
+    hot = np.sort(often.select("counter").toArrow().column(0).to_numpy())  # COUNTERS at most
     sent = first_of_all.mapInArrow(_send_anchors, "key long, rid long, packed long")
     repeated = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_keep_repeated, "rid long, packed long").groupBy("rid").agg(F.collect_list("packed").alias("packed"))
     # Both uses of `found` take all its columns, so that Spark shuffles the texts once for both.
