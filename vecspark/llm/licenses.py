@@ -1,7 +1,7 @@
 """License scans: notices as templates with optional and replaceable regions, compiled into one automaton over words.
 
-Markup: [[ ... ]] may be left out, {{n}} stands for up to n words of any kind, a|b for either word; all else is mandatory
-wording that a text must have exactly. Words are runs of letters, digits and what isn't ASCII, A-Z in lower case. The
+Markup: [[ ... ]] may be left out, also one inside another; {{n}} stands for up to n words of any kind, a|b for either word; all
+else is mandatory wording that a text must have exactly. A notice in whole is accepted as that, and a shorter reference too. Words are runs of letters, digits and what isn't ASCII, A-Z in lower case. The
 automaton of all templates is made deterministic as texts visit its states, and reads each word once.
 """
 
@@ -20,8 +20,63 @@ from vecspark.llm.words import LETTERS
 
 #: The phrases that count as base places, and their labels.
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
-#: Wording of well-known notices.
-TEMPLATES = (
+#: The wording of well-known notices in whole, by words. What differs from project to project is optional or replaceable.
+NOTICES = (
+    ("mit", """[[the]] [[mit|expat|x11]] [[license]] [[copyright [[c]] {{24}} [[all rights reserved]]]]
+        permission is hereby granted free of charge to any person obtaining a copy of this software and [[associated]] documentation files {{5}}
+        to deal in the {{4}} without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the {{4}}
+        and to permit persons to whom the {{4}} is furnished to do so subject to the following conditions
+        the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the {{4}}
+        the {{4}} is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+        fitness for a particular purpose and noninfringement in no event shall the {{12}} be liable for any claim damages or other liability
+        whether in an action of contract tort or otherwise arising from out of or in connection with the {{4}} or the use or other dealings in the {{4}}"""),
+    ("mit-0", """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software
+        to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software
+        and to permit persons to whom the software is furnished to do so the software is provided as is without warranty of any kind"""),
+    ("isc", """[[isc license]] [[copyright [[c]] {{24}}]]
+        permission to use copy modify [[and]] [[or]] distribute this software for any purpose with or without fee is hereby granted
+        provided that the above copyright notice and this permission notice appear in all copies
+        the software is provided as is and {{8}} disclaims|disclaim all warranties with regard to this software including all implied warranties of merchantability and fitness
+        in no event shall {{8}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits
+        whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"""),
+    ("bsd-2", """redistribution and use [[of {{8}}]] in source and binary forms with or without modification are permitted provided that the following conditions are met
+        [[1|a]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+        [[2|b]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution
+        this software is provided by {{16}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed
+        in no event shall {{16}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services
+        loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise
+        arising in any way out of the use of this software even if advised of the possibility of such damage"""),
+    ("bsd-3", """redistribution and use [[of {{8}}]] in source and binary forms with or without modification are permitted provided that the following conditions are met
+        [[1|a]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+        [[2|b]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution
+        [[3|c]] neither the name of {{16}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission
+        this software is provided by {{16}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed
+        in no event shall {{16}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services
+        loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise
+        arising in any way out of the use of this software even if advised of the possibility of such damage"""),
+    ("apache-2", """[[copyright [[c]] {{24}}]] licensed under the apache license version 2 0 the license you may not use this file|work|software except in compliance with the license
+        you may obtain a copy of the license at http|https www apache org licenses license 2 0 [[txt|html]]
+        unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+        without warranties or conditions of any kind either express or implied
+        see the license for the specific language governing permissions and limitations under the license"""),
+    ("gpl-3", """{{6}} is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation
+        either version 3 of the license or at your option any later version {{6}} is distributed in the hope that it will be useful but without any warranty
+        without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details
+        you should have received a copy of the gnu general public license along with {{6}} if not see [[http|https]] [[www gnu org licenses]]"""),
+    ("zlib", """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software
+        permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions
+        [[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software
+        if you use this software in a product an acknowledgment|acknowledgement in the product documentation would be appreciated but is not required
+        [[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+        [[3]] this notice may not be removed or altered from any source distribution"""),
+    ("unlicense", """this is free and unencumbered software released into the public domain
+        anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"""),
+    ("wtfpl", """do what the fuck you want to public license [[version 2 [[december 2004]]]] {{24}} everyone is permitted to copy and distribute verbatim or modified copies of this license document
+        and changing it is allowed as long as the name is changed do what the fuck you want to public license terms and conditions for copying distribution and modification
+        0 you just do what the fuck you want to"""),
+)
+#: Shorter wording by which a text refers to a license.
+REFERENCES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of {{12}} to deal in {{6}} without restriction"),
     ("mit", "[[licensed|released|distributed|available]] under the [[terms of the]] [[expat|x11]] mit license"),
     ("apache-2", "licensed under the apache license version 2 0 [[the license]]"),
@@ -42,6 +97,7 @@ TEMPLATES = (
     ("cc-by", "creative commons attribution [[1|2|3|4 0]] [[international]] [[public]] license"),
     ("cc0", "creative commons [[cc0]] [[1 0]] universal [[public domain dedication]]"),
 )
+TEMPLATES = NOTICES + REFERENCES
 #: States that a worker keeps before it makes them anew.
 MOST_STATES = 20_000
 
