@@ -1,13 +1,15 @@
 """The pipeline and the queries on the driver's smallest tables, against plain versions."""
 
 import os
+import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
-from vecspark.llm import toxicity
+from vecspark.llm import licenses
 from vecspark.llm.common import table
 from vecspark.llm.queries import QUERIES
 
@@ -20,18 +22,16 @@ def documents(spark):
     return sorted((r.doc_id, r.text) for r in table(spark, FOLDER, "documents").select("doc_id", "text").collect())
 
 
-def test_pipeline_equals_its_stages_one_by_one(spark, documents):
-    from tokenizers import Tokenizer
+def learned(documents, labels):
+    return brute.Toxicity([(t, int(labels[i] > 0)) for i, t in documents if labels.get(i) is not None and zlib.crc32(str(i).encode()) % 5])
 
-    model = toxicity.fit_for(table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels"))
-    scorer = toxicity.Scorer(model)
 
-    def toxic(text):
-        n, positives = scorer.positives((text or "").encode())
-        each = [scorer.evidence(n, s) for *_, s in scorer.segments(n, positives)]
-        return model.probability(max(each, default=0.0), sum(each)) >= 0.5
+def test_pipeline_equals_its_stages_one_by_one(spark, documents):
+    from tokenizers import Tokenizer
 
-    left = [(i, t) for i, t in documents if not toxic(t)]
+    labels = {r.doc_id: r.toxic for r in table(spark, FOLDER, "labels").collect()}
+    model = learned(documents, labels)
+    left = [(i, t) for i, t in documents if model.score(t) < 0.5]
     groups = brute.components({i: brute.fingerprint(t) for i, t in left})
     left = [(i, t) for i, t in left if groups[i] == i]
     items = [(r.item_id, r.text) for r in table(spark, FOLDER, "benchmark").collect()]
@@ -61,6 +61,19 @@ def test_stages_keep_columns_and_odd_rows(spark):
     assert {r.n_chars for r in out.where("doc_id = 3").collect()} == {10}
 
 
+def test_stages_keep_columns_of_any_name_and_judge_rows_by_their_text(spark):
+    item = next(r.text for r in table(spark, FOLDER, "benchmark").orderBy("item_id").collect() if r.text)
+    clash = ["toxicity", "toxic_passages", "secrets", "changed", "fingerprint", "component_id", "text_hash", "_f", "_gone", "_hash", "_secrets", "_toxicity"]
+    rows = [(None, item), (None, "nothing in it"), (7, f"before {item} behind"), (7, "also clean"), (8, "token = abcdefgh1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *(F.concat(F.lit(c), "text").alias(c) for c in clash)).cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert all(r[c].startswith(c) for r in got for c in clash)
+        assert sorted(r.text for r in got) == sorted({"benchmark_leaks": ["nothing in it", "also clean", "token = abcdefgh1"], "secrets": [*(t for _, t in rows[:-1]), "[REDACTED]"]}.get(name, [t for _, t in rows]))
+
+
 def test_op1_query(spark, documents):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op1_suffixes"](spark, FOLDER).collect()}
     assert got == {i: w for (i, _), w in zip(documents, brute.repeats(documents), strict=True)}
@@ -72,6 +85,12 @@ def test_op2_query(spark, documents):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op2_simhash"](spark, FOLDER).collect()} == {i: (f"{prints[i]:016x}", groups[i]) for i in prints}
 
 
+def may_match(words, markup):
+    """Whether the words have all that the template can't do without."""
+    plain = re.sub(r"\[\[[^\[\]]*\]\]", " ", re.sub(r"\[\[[^\[\]]*\]\]", " ", markup))
+    return all(set(t.split("|")) & set(words) for t in re.sub(r"\{\{\d+\}\}", " ", plain).split())
+
+
 def test_op4_query(spark, documents):
     got = {r.doc_id: r for r in QUERIES["op4_licenses"](spark, FOLDER).collect()}
     phrases = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
@@ -81,7 +100,8 @@ def test_op4_query(spark, documents):
         starts = [at for _, at in places]
         r = got[i]
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({k for k, _ in places})))
-        assert {k for k, _ in places} <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
+        found = brute.licenses(text, [t for t in (*licenses.BASE, *licenses.TEMPLATES) if may_match(words, t[1])])
+        assert r.labels == ",".join(sorted({k for k, *_ in found})) and r.score == pytest.approx(brute.coverage(len(words), found))
 
 
 def test_op5_query(spark, documents):
@@ -92,8 +112,10 @@ def test_op5_query(spark, documents):
 def test_op6_query(spark, documents):
     got = {r.doc_id: r for r in QUERIES["op6_toxicity"](spark, FOLDER).collect()}
     assert len(got) == len(documents) and all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) for i, r in got.items())
-    labels = {r.doc_id: r.toxic for r in table(spark, FOLDER, "labels").collect() if not got[r.doc_id].held_out}
-    assert sum(got[i].predicted == y for i, y in labels.items()) >= 0.9 * len(labels)
+    labels = {r.doc_id: r.toxic for r in table(spark, FOLDER, "labels").collect()}
+    model = learned(documents, labels)
+    assert {i: r.score for i, r in got.items()} == {i: pytest.approx(model.score(t), abs=1e-6) for i, t in documents}
+    assert sum(got[i].predicted == y for i, y in labels.items() if got[i].held_out) >= 0.9 * sum(got[i].held_out for i in labels)
 
 
 def test_op7_query(spark, documents):
