@@ -150,3 +150,101 @@ def test_streams(engine, spark, tmp_path):
     asked.write.parquet(str(tmp_path / "q"))
     search_queries(engine, "c", spark.readStream.schema(asked.schema).parquet(str(tmp_path / "q")), 2, str(tmp_path / "out"), str(tmp_path / "k2")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def waves(spark, n=200):
+    """n points of eight elements, each with a price and a kind."""
+    vector = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.sin(F.col("id") * (j + 1) * 0.37).cast("float"))
+    payload = F.concat(F.lit('{"price":'), F.col("id"), F.lit(',"kind":"k'), F.col("id") % 5, F.lit('","tags":["t'), F.col("id") % 3, F.lit('"]}'))
+    return spark.range(n).select(F.col("id").cast("string").alias("id"), vector.alias("vector"), payload.alias("payload"), F.col("id").alias("seq"))
+
+
+ASKED = [0.1, 0.5, -0.2, 0.3, 0.9, -0.4, 0.2, 0.0]
+
+
+@pytest.mark.parametrize("config", [{"index": "Ivf", "ivf": {"lists": 8, "min_build_points": 10, "default_nprobe": 8}}, {"index": "Flat", "quantization": {"kind": "scalar"}}, {"index": "Hnsw"}])
+def test_changes_that_wait_are_searched_beside_the_index(engine, spark, config):
+    for name, how in (("flat", {"index": "Flat"}), ("indexed", config)):
+        engine.create_collection(name, {"dim": 8, "metric": "Euclid", **how})
+        engine.upsert_dataframe(name, waves(spark), payload="payload")
+        engine.build_index(name)
+        engine.upsert_batch(name, [{"id": f"new{i}", "vector": [x + i / 100 for x in ASKED]} for i in range(3)])
+        engine.upsert(name, 7, ASKED, {"price": 7})
+        engine.delete_batch(name, ["new1", 8, 9])
+    query = SearchQuery(ASKED, limit=12, with_payload=False, rescore=True, oversampling=30)
+    rows = lambda name: [(r.id, round(r.score, 6)) for r in engine.search(name, query).collect()]
+    want = rows("flat")
+    assert want[:2] == [("new0", 1.0), ("7", 1.0)] or want[:2] == [("7", 1.0), ("new0", 1.0)]
+    assert rows("indexed") == want and "search_exact_calls" not in engine.collection_metrics("indexed")
+    batch = spark.createDataFrame([(1, ASKED)], "qid long, vector array<float>")
+    got = engine.search_batch("indexed", batch, 12, nprobe=8, oversampling=30).orderBy("rank").collect()
+    assert [(r.id, round(r.score, 6)) for r in got] == want
+    assert engine.count("indexed") == engine.points("indexed").count() == 200
+    assert engine.drain_pending("indexed") > 0 and rows("indexed") == want and engine.has_index("indexed") == (config["index"] != "Flat")
+
+
+def test_index_columns_narrow_what_is_read(engine, spark):
+    engine.create_collection("c", {"dim": 8, "index": "Flat"})
+    engine.upsert_dataframe("c", waves(spark), payload="payload")
+    for field, tag in (("price", "float"), ("kind", "keyword"), ("tags", "keyword")):
+        engine.create_payload_index("c", field, tag)
+    cases = [(where.match("kind", "k3"), 40, "EqualTo(p_kind,k3)"), (where.match_any("kind", ["k1", "k2"]), 80, "In(p_kind"), (where.range("price", gte=150), 50, "GreaterThanOrEqual(p_price,150"), (where.match("tags", "t1"), 67, "IsNotNull(m_tags)"), (where.has_id([3, "04", "none"]), 2, "In(id")]
+    for condition, n, pushed in cases:
+        found = engine.points_by_filter("c", {"must": [condition]})
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == n and pushed in plan[plan.index("PushedFilters") :], pushed
+    store = engine._store("c")
+    plan = store.with_ids(store.manifest(), ["7"])._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(id,7)" in plan and engine.get("c", "0007")["payload"]["price"] == 7
+
+
+def test_transactions_writers_and_batches(engine, spark):
+    for name in ("a", "b"):
+        engine.create_collection(name, {"dim": 1, "index": "Flat", "max_points": 3})
+    engine.apply_txn([{"op": "upsert", "collection": n, "id": i, "vector": [i]} for i in range(2) for n in ("a", "b")])
+    before = engine.revision("a"), engine.revision("b")
+    bad = [{"op": "upsert", "collection": "a", "id": 5, "vector": [1.0]}, *({"op": "upsert", "collection": "b", "id": i, "vector": [1.0]} for i in range(2, 5))]
+    with pytest.raises(CapacityExceeded):
+        engine.apply_txn(bad)
+    assert (engine.revision("a"), engine.revision("b")) == before and engine.get("a", 5) is None
+    engine.apply_txn([{"op": "delete", "collection": "a", "id": 0}, {"op": "upsert", "collection": "a", "id": 7, "vector": [7]}, {"op": "delete", "collection": "a", "id": 7}, {"op": "upsert", "collection": "a", "id": 0, "vector": [9]}])
+    assert engine.count("a") == 2 and engine.get("a", 0)["vector"] == [9.0] and engine.get("a", 7) is None and engine.slot_of("a", 0) == 2
+    late = engine._store("a").manifest()
+    engine.delete("a", 1)
+    assert not engine._store("a").commit(late) and engine.count("a") == 1
+    rows = spark.createDataFrame([("5", [5.0])], "id string, vector array<float>")
+    for epoch in (0, 1, 1, 0):
+        engine.upsert_dataframe("a", rows, batch=("source", epoch))
+    assert engine.collection_metrics("a")["upsert_calls"] == 6 and engine._store("a").manifest()["batches"] == {"source": 1}
+
+
+def test_ids_are_one_whichever_way_they_come_in(engine, spark):
+    from vecspark.types import normalise_id
+
+    texts = ["7", "007", "+7", "0", "+000", "18446744073709551615", "018446744073709551615", "18446744073709551616", "+00000000000000000000012", "1.0", "-3", "", "x7", "+", "9" * 5000]
+    engine.create_collection("c", {"dim": 1, "index": "Flat"})
+    engine.upsert_dataframe("c", spark.createDataFrame([(t, [1.0]) for t in texts], "id string, vector array<float>"))
+    assert {r.id for r in engine.points("c").select("id").collect()} == {normalise_id(t) for t in texts} and normalise_id(texts[6]) == texts[5]
+    assert all(engine.get("c", t) for t in texts)
+
+
+def test_many_changes_are_merged_and_folded(engine, spark, monkeypatch):
+    from vecspark.sources import store as s
+
+    engine.create_collection("c", {"dim": 1, "index": "Flat"})
+    for i in range(18):
+        engine.upsert("c", i % 5, [i])
+    manifest = engine._store("c").manifest()
+    assert len(manifest["changes"]) <= s.MERGED and {r.id: r.vector[0] for r in engine.points("c").collect()} == {str(i % 5): float(i) for i in range(13, 18)}
+    monkeypatch.setattr(s, "FOLD_LEAST", 0)
+    engine.upsert("c", 1, [99])
+    assert not engine.needs_checkpoint("c") and engine.get("c", 1)["vector"] == [99.0] and engine.vacuum("c") and engine.count("c") == engine.points("c").count() == 5
+
+
+def test_order_statistics_are_exact(spark):
+    from vecspark.operators.quantization import order_statistics
+
+    values = [((i * 7919) % 1000) / 7 for i in range(3000)]
+    frame = spark.createDataFrame([(v,) for v in values], "x double")
+    ranks = [0, 1, 14, 1500, 2985, 2999]
+    assert order_statistics(frame, ranks) == [sorted(values)[r] for r in ranks]

@@ -19,7 +19,7 @@ from vecspark.functions import distance as D
 from vecspark.functions.payload import canonical, canonical_id, edited
 from vecspark.operators import graph, ivf
 from vecspark.operators import quantization as quant
-from vecspark.operators.search import batch_search, filtered, projected, rank_scored, top_of_each
+from vecspark.operators.search import batch_search, best_scored, filtered, projected, rank_scored, top_of_each
 from vecspark.plans.filters import compile_filter
 from vecspark.sources.files import Files
 from vecspark.sources.store import Manifest, Store, estimate, number_in_order
@@ -376,7 +376,7 @@ class Engine:
         return self.search(name, query).toLocalIterator()
 
     def _scored(self, points: DataFrame, config: CollectionConfig, query: SearchQuery) -> DataFrame:
-        return points.select("slot", "id", D.score(config.metric, F.col("vector"), D.vector(query.vector)).alias("score"))
+        return best_scored(points, query.vector, query.wanted + query.offset, config.metric)
 
     def _search_exact(self, store: Store, manifest: Manifest, config: CollectionConfig, query: SearchQuery) -> DataFrame:
         winners = rank_scored(self._scored(self._candidates(store, manifest, query.filter), config, query), query.wanted, query.offset, query.threshold)

@@ -6,6 +6,7 @@ Sums run from left to right in double. Scores: higher is nearer. Cosine of a zer
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,6 +53,11 @@ def vector(values) -> Column:
     return F.lit([float(x) for x in values]).cast("array<double>")
 
 
+def matrix(vectors: pa.Array) -> np.ndarray:
+    """A row for each of an Arrow column's vectors, which are of one length and not null."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
 def scores(metric: str, queries: np.ndarray, points: np.ndarray) -> np.ndarray:
     """A row for each query, a column for each point."""
     q, x = queries.astype(np.float64), points.astype(np.float64)

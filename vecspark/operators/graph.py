@@ -1,7 +1,8 @@
-"""Navigable small-world graphs, one for each shard of the points, and search over all shards at once.
+"""Navigable small-world graphs, one for each shard of the points, for batches of queries.
 
-A shard of bounded size is built in one task; its layers and links are rows of a table. A search walks every shard's graph
-in parallel and merges the best of each, so its quality doesn't depend on how many shards there are.
+A shard of bounded size is built in one task and is one row of a table. A search loads each shard once for all queries of a
+block, walks its graph for each and merges the best of all shards, so its quality doesn't depend on how many shards there are.
+It reads what an exact search reads and saves scores only; inverted lists and codes are what saves reading.
 """
 
 from __future__ import annotations

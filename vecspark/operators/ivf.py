@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecspark.functions import distance as D
 from vecspark.operators.quantization import kmeans, nearest, sample_vectors
 from vecspark.operators.search import best_of, in_blocks
 from vecspark.types import IvfConfig
@@ -37,7 +38,7 @@ def assign(points: DataFrame, centroids: np.ndarray, metric: str) -> DataFrame:
             if not batch.num_rows:
                 continue
             at = batch.schema.get_field_index("vector")
-            own, far = nearest(_shaped(np.stack(batch.column(at).to_numpy(zero_copy_only=False)).astype(np.float64), metric), centroids)
+            own, far = nearest(_shaped(D.matrix(batch.column(at)).astype(np.float64), metric), centroids)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(np.sqrt(far))], [*batch.schema.names, "list_id", "list_distance"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)

@@ -131,7 +131,7 @@ def product_encode(points: DataFrame, books: np.ndarray) -> DataFrame:
             at = batch.schema.get_field_index("vector") if at is None else at
             if not batch.num_rows:
                 continue
-            vectors = np.stack(batch.column(at).to_numpy(zero_copy_only=False)).astype(np.float64)
+            vectors = D.matrix(batch.column(at)).astype(np.float64)
             codes = np.stack([nearest(x, b)[0] for x, b in zip(np.split(vectors, len(books), axis=1), books, strict=True)], axis=1).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], [*batch.schema.names, "code"])
 
@@ -191,7 +191,7 @@ def decoded(coded: DataFrame, known: dict) -> DataFrame:
             if not batch.num_rows:
                 continue
             if known["kind"] == "binary":
-                words = np.stack(batch.column(2).to_numpy(zero_copy_only=False))
+                words = D.matrix(batch.column(2))
                 values = ((words[:, [i // 63 for i in range(dim)]] >> np.array([i % 63 for i in range(dim)])) & 1) * 2.0 - 1
             else:
                 codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, len(books))

@@ -35,10 +35,14 @@ def search(points: DataFrame, query: SearchQuery, metric: str, dim: int, shadows
 
     Scores are ranked without payloads; those of the winners, as many as the query asks for, are fetched by their slots.
     """
-    vector = D.vector(check_vector(query.vector, dim))
-    live = filtered(points, query.filter, shadows)
-    scored = live.select("slot", "id", D.score(metric, F.col("vector"), vector).alias("score"))
-    return fetch(points, rank_scored(scored, query.wanted, query.offset, query.threshold), query)
+    best = best_scored(filtered(points, query.filter, shadows), check_vector(query.vector, dim), query.wanted + query.offset, metric, query.threshold)
+    return fetch(points, rank_scored(best, query.wanted, query.offset), query)
+
+
+def best_scored(points: DataFrame, vector: list[float], k: int, metric: str, threshold: float | None = None) -> DataFrame:
+    """(slot, id, score) of the k best points of each task, scored an Arrow batch at a time."""
+    task = best_of(np.zeros(1, np.int64), np.array([vector], np.float64), k, metric, threshold)
+    return points.select("slot", "id", "vector").mapInArrow(task, "qid long, slot long, id string, score double").drop("qid")
 
 
 def fetch(points: DataFrame, winners: DataFrame, query: SearchQuery) -> DataFrame:
@@ -87,7 +91,7 @@ def best_of(qids: np.ndarray, vectors: np.ndarray, k: int, metric: str, threshol
         for batch in batches:
             if not batch.num_rows or not len(qids):
                 continue
-            points = np.stack(batch.column(2).to_numpy(zero_copy_only=False))
+            points = D.matrix(batch.column(2))
             slots = batch.column(0).to_numpy()
             for at, s in _together(vectors, metric, points):
                 enough = np.ones(s.shape, bool) if threshold is None else s >= threshold
@@ -129,7 +133,7 @@ def similarity_join(points: DataFrame, queries: DataFrame, floor: float, metric:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows and len(qids):
-                    for at, s in _together(vectors, metric, np.stack(batch.column(2).to_numpy(zero_copy_only=False))):
+                    for at, s in _together(vectors, metric, D.matrix(batch.column(2))):
                         row, col = np.nonzero(s >= floor)
                         yield pa.RecordBatch.from_arrays([pa.array(qids[at + row]), batch.column(0).take(pa.array(col)), batch.column(1).take(pa.array(col)), pa.array(s[row, col])], ["qid", "slot", "id", "score"])
 
