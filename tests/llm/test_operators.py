@@ -364,7 +364,7 @@ def test_secrets(spark, docs, none):
     got = {i: [tuple(s) for s in x if s.kind in base] for i, (x,) in by_id(found, "secrets").items()}
     assert got == {i: brute.secrets(t) for i, t in enumerate(texts)}
     assert {i: [tuple(s) for s in x] for i, (x,) in by_id(found, "secrets").items()} == {i: brute.all_secrets(t, secrets.RULES) for i, t in enumerate(texts)}
-    kept = {i: t for i, (t,) in by_id(secrets.redact(found), "text").items()}
+    kept = {i: t for i, (t,) in by_id(secrets.redact(rows), "text").items()}
     assert kept[0] == "[REDACTED]" and kept[7] is None and kept[8] == "" and kept[10] == "[REDACTED]" and kept[5] == "é token: éabc [REDACTED]é"
     assert secrets.find_secrets(docs).count() == 20 and secrets.find_secrets(none).count() == 0
 
@@ -387,7 +387,7 @@ def test_redaction_leaves_no_byte_of_a_private_key(spark):
     whole = [sep.join([begin, *lines, end]) for sep in ("\n", "\r\n", "\\n", " ", "\n    ", '\\n" +\n  "', "\n> ")]
     keys = [*whole, "\n".join([begin, *info, *lines, end]), "\n".join([begin, *lines]), "\n".join([begin, *info, *lines]), "\\n".join([begin, *lines]), begin + "\n" + lines[0][:9], whole[0] + "\n" + whole[0]]
     texts = [f"épée before {key}\n\nand the text behind it." for key in keys] + [f"One {begin} in a sentence stays readable.", whole[0]]
-    kept = {i: t for i, (t,) in by_id(secrets.redact(secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), DOCS))), "text").items()}
+    kept = {i: t for i, (t,) in by_id(secrets.redact(spark.createDataFrame(list(enumerate(texts)), DOCS)), "text").items()}
     assert all(kept[i] == "épée before [REDACTED]\n\nand the text behind it." for i in range(len(keys) - 1))
     assert kept[len(keys) - 1] == "épée before [REDACTED]\n[REDACTED]\n\nand the text behind it."
     assert kept[len(keys)] == "One [REDACTED] in a sentence stays readable." and kept[len(keys) + 1] == "[REDACTED]"

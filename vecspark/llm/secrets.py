@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -138,29 +139,35 @@ def find_secrets(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RU
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, SPANS)]))
 
 
-def redact(df: DataFrame, text: str = "text", secrets: str = "secrets") -> DataFrame:
-    """df with each stretch of text that secrets cover replaced by [REDACTED]; without the column of secrets."""
-    at_text, at_spans = df.columns.index(text), df.columns.index(secrets)
-    schema = T.StructType([f for f in df.schema.fields if f.name != secrets])
+def redact(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, changed: str | None = None) -> DataFrame:
+    """df with each stretch of text that secrets cover replaced by [REDACTED], in the pass that finds them. changed: a new column
+    that tells whether a text was. Nulls and empty texts stay; a column of df with that name is replaced."""
+    df = df.drop(changed) if changed else df
+    shared = df.sparkSession.sparkContext.broadcast(compiled(rules))  # its size depends on the rules alone
+    column = df.columns.index(text)
+    fields = [*df.schema.fields, *(T.StructField(c, T.BooleanType()) for c in [changed] if c)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, at_text):
-            new = [_cut(x, [(s["start"], s["end"]) for s in spans or ()]) for x, spans in zip(batch.column(at_text).to_pylist(), batch.column(at_spans).to_pylist(), strict=True)]
-            columns = [pa.array(new, batch.schema.field(i).type) if i == at_text else c for i, c in enumerate(batch.columns) if i != at_spans]
-            yield pa.RecordBatch.from_arrays(columns, [n for n in batch.schema.names if n != secrets])
+        finder = Finder(rules, *shared.value)
+        for batch in pieces(batches, column):
+            old = batch.column(column)
+            spans = [finder.find(x) for x in byte_strings(old)]
+            new = [_cut(x.as_py(), own) for x, own in zip(old, spans, strict=True) if own]
+            hit = pa.array([bool(own) for own in spans])
+            texts = pc.replace_with_mask(old, hit, pa.array(new, old.type)) if new else old
+            yield pa.RecordBatch.from_arrays([texts if i == column else c for i, c in enumerate(batch.columns)] + [hit] * bool(changed), [f.name for f in fields])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, T.StructType(fields))
 
 
-def _cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
-    if not text or not spans:
-        return text
-    out, at = [], 0
-    for a, b in sorted(spans):
+def _cut(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """spans: (kind, start, end) in bytes."""
+    data, out, at = text.encode(), [], 0
+    for a, b in sorted((a, b) for _, a, b in spans):
         if a >= at:
-            out += [text[at:a], "[REDACTED]"]
+            out += [data[at:a], b"[REDACTED]"]
         at = max(at, b)
-    return "".join([*out, text[at:]])
+    return b"".join([*out, data[at:]]).decode()
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:
