@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vecspark.llm.bpe import default_vocabulary, encode_texts
 from vecspark.llm.common import checkpointed, free_name, scratch_folder, table
 from vecspark.llm.decontamination import find_contamination
-from vecspark.llm.secrets import find_secrets, redact
+from vecspark.llm.secrets import redact
 from vecspark.llm.simhash import fingerprint_texts, near_duplicates
 from vecspark.llm.toxicity import fit_for, score_texts
 
@@ -49,10 +49,8 @@ def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay, with [REDACTED] in the place of secrets; n_chars follows where a text was changed."""
-    spans = free_name(docs, "secrets")
-    found = find_secrets(docs, out=spans)
-    changed = free_name(found, "changed")
-    clean = redact(found.withColumn(changed, F.size(spans) > 0), secrets=spans)
+    changed = free_name(docs, "changed")
+    clean = redact(docs, changed=changed)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.col(changed), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return clean.select(docs.columns)
