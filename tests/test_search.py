@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vecspark.functions import distance as D
 from vecspark.operators import graph, ivf
 from vecspark.operators import quantization as quant
-from vecspark.operators.search import batch_search, search
+from vecspark.operators.search import batch_search, search, top_of_each
 from vecspark.types import HnswConfig, InvalidDimension, InvalidPoint, SearchQuery
 
 SCHEMA = "slot long, id string, vector array<float>, payload string"
@@ -119,3 +119,20 @@ def test_graphs_find_what_an_exact_search_finds(spark):
     assert hits >= 45
     allowed = points.where("slot % 2 = 0")
     assert all(r.slot % 2 == 0 for r in graph.search(graphs, [0.0] * 8, "Euclid", config, 20, allowed).collect())
+
+
+@pytest.mark.parametrize("nprobe", [1, 3, 8])
+def test_batches_probe_the_lists_that_single_searches_probe(spark, nprobe):
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(300, 8)).astype(np.float32)
+    centres = rng.normal(size=(8, 8))
+    assigned = ivf.assign(frame(spark, vectors), centres, "Euclid").cache()
+    queries = rng.normal(size=(20, 8))
+    found = ivf.batch_probe(assigned, spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(queries)], "qid long, vector array<double>"), centres, nprobe, 5, "Euclid")
+    got = {i: [] for i in range(20)}
+    for r in top_of_each(found, 5).orderBy("qid", "rank").collect():
+        got[r.qid].append(r.slot)
+    lists = {r.slot: r.list_id for r in assigned.select("slot", "list_id").collect()}
+    for i, q in enumerate(queries):
+        near = set(ivf.probe_order(q.tolist(), centres, "Euclid")[:nprobe])
+        assert got[i] == [s for s in exact(vectors, q, "Euclid") if lists[s] in near][:5]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.functions import distance as D
-from vecspark.operators.quantization import kmeans, nearest, sample_vectors
+from vecspark.operators.quantization import ROWS, kmeans, nearest, sample_vectors
 from vecspark.operators.search import best_of, in_blocks
 from vecspark.types import IvfConfig
 
@@ -45,6 +45,15 @@ def assign(points: DataFrame, centroids: np.ndarray, metric: str) -> DataFrame:
     return points.mapInArrow(run, f"{fields}, list_id int, list_distance double")
 
 
+def nearest_lists(vectors: np.ndarray, centroids: np.ndarray, nprobe: int) -> np.ndarray:
+    """The numbers of the nprobe lists nearest to each vector; of equally near ones the lowest. ROWS vectors at a time."""
+    out = np.empty((len(vectors), min(nprobe, len(centroids))), np.int64)
+    norms = (centroids**2).sum(1)
+    for at in range(0, len(vectors), ROWS):
+        out[at : at + ROWS] = np.argsort(norms - 2 * vectors[at : at + ROWS] @ centroids.T, axis=1, kind="stable")[:, :nprobe]
+    return out
+
+
 def probe_order(query: list[float], centroids: np.ndarray, metric: str) -> list[int]:
     """The lists by distance from the query."""
     far = ((centroids - _shaped(np.array([query], np.float64), metric)) ** 2).sum(1)
@@ -63,17 +72,17 @@ def batch_probe(assigned: DataFrame, queries: DataFrame, centroids: np.ndarray,
     """
 
     def near(qids: np.ndarray, vectors: np.ndarray):
-        far = ((_shaped(vectors, metric)[:, None] - centroids[None]) ** 2).sum(2) if len(qids) else np.empty((0, len(centroids)))
-        asks = np.zeros(far.shape, bool)
-        np.put_along_axis(asks, np.argsort(far, axis=1, kind="stable")[:, :nprobe], True, axis=1)
+        probes = nearest_lists(_shaped(vectors, metric), centroids, nprobe) if len(qids) else np.empty((0, 1), np.int64)
+        order = np.argsort(probes.ravel(), kind="stable")
+        asking, first = order // probes.shape[1], np.searchsorted(probes.ravel()[order], np.arange(len(centroids) + 1))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 lists = batch.column(3).to_numpy()
                 for i in np.unique(lists).tolist():
-                    some, asking = batch.filter(pa.array(lists == i)), np.flatnonzero(asks[:, i])
-                    if len(asking):
-                        yield from best_of(qids[asking], vectors[asking], k, metric, None)(iter([some]))
+                    some, own = batch.filter(pa.array(lists == i)), asking[first[i] : first[i + 1]]
+                    if len(own):
+                        yield from best_of(qids[own], vectors[own], k, metric, None)(iter([some]))
 
         return run
 
